@@ -1,0 +1 @@
+"""No streaming operators: the engine's relations are finite, and plans run as batch queries."""
