@@ -53,11 +53,25 @@ def fold(doc_id: str | Column, mod: int) -> Column:
     return F.crc32(col.cast("string").cast("binary")) % mod
 
 
+def sampled(rows: DataFrame, key: str, most: int) -> DataFrame:
+    """About ``most`` rows: those whose hashed key lies in that share of the hashes; all, if there are no more.
+
+    The choice depends on the key alone, and no task sends rows that aren't kept.
+    """
+    n = rows.count()
+    if n <= most:
+        return rows
+    return rows.filter(F.pmod(F.xxhash64(F.lit(17), F.col(key)), F.lit(1 << 40)) < int(most / n * (1 << 40)))
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Finalizer of splitmix64 on uint64 values."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+    x = x ^ (x >> np.uint64(30))
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    x ^= x >> np.uint64(27)
+    x *= np.uint64(0x94D049BB133111EB)
+    x ^= x >> np.uint64(31)
+    return x
 
 
 def slices(lengths: list[int], most: int) -> Iterator[tuple[int, int]]:

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import batched, fold, table
+from tidemark.llm.common import batched, fold, sampled, table
 
 UNKNOWN = "und"
 
@@ -145,16 +145,13 @@ class ByteConvNet:
 
 
 def train_language_model(labelled: DataFrame, text: str = "text", lang: str = "lang", order_by: str = "doc_id", config: ConvConfig = ConvConfig()) -> ByteConvNet | None:
-    """Fit on a bounded sample: the rows of the ``sample_docs`` smallest hashes of ``order_by``."""
+    """Fit on about ``sample_docs`` rows, chosen by the hash of ``order_by``."""
     n, size = config.windows_per_doc, config.window
     at = [f"substring({text}, int(1 + greatest(length({text}) - {size}, 0) * {i / max(n - 1, 1)}), {size})" for i in range(n)]
-    sample = (
-        labelled.filter(F.col(text).isNotNull() & F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}"))
-        .select(F.xxhash64(order_by, text).alias("_h"), F.col(lang).alias("_y"), *[F.expr(e).alias(f"_{i}") for i, e in enumerate(at)])
-        .orderBy("_h", "_y")
-        .limit(config.sample_docs)
-        .collect()
-    )
+    known = labelled.filter(F.col(text).isNotNull() & F.col(lang).isNotNull())
+    picked = sampled(known, order_by, config.sample_docs).filter(F.col(text).rlike(r"\p{L}"))
+    rows = picked.select(F.xxhash64(order_by, text).alias("_h"), F.col(lang).alias("_y"), *[F.expr(e).alias(f"_{i}") for i, e in enumerate(at)]).collect()
+    sample = sorted(rows, key=lambda r: (r["_h"], r["_y"]))
     classes = sorted({r["_y"] for r in sample})
     if not classes:
         return None
