@@ -4,7 +4,7 @@
    kind leftmost and non-overlapping over the whole text, in linear time.
 2. The tagger reads characters in both directions (LSTM) and decodes tags (begin and
    inside for each kind, or none) with learned transitions. It is trained in numpy on
-   windows of at most ``sample_docs`` texts, labelled by their base spans and by variants
+   windows of about ``sample_docs`` texts, labelled by their base spans and by variants
    of them (a phone number without its plus, with other separators), and on windows with
    digits or ``@`` but no span.
 3. Every span of these kinds holds a digit or ``@``, so only windows with one are decoded.
@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import batched, table
+from tidemark.llm.common import batched, sampled, table
 
 KINDS = ("email", "ip", "card", "phone")
 Span = tuple[int, int, int]
@@ -236,7 +236,7 @@ def _variant(kind: int, s: str, rng: np.random.Generator) -> str:
 
 
 def train_tagger(docs: DataFrame, text: str = "text", order_by: str = "doc_id", config: PiiConfig = PiiConfig()) -> Tagger | None:
-    """Fit on windows around digits and ``@`` of the ``sample_docs`` such texts with the smallest hashes."""
+    """Fit on windows around digits and ``@`` of about ``sample_docs`` such texts, chosen by the hash of ``order_by``."""
     size = config.window
 
     def windows(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -251,11 +251,7 @@ def train_tagger(docs: DataFrame, text: str = "text", order_by: str = "doc_id",
         kind = pa.list_(pa.struct([("text", pa.string()), ("spans", pa.list_(pa.struct([("k", pa.int64()), ("lo", pa.int64()), ("hi", pa.int64())])))]))
         return pa.RecordBatch.from_arrays([pa.array(out, kind)], ["found"])
 
-    marked = docs.filter(F.col(text).rlike("[0-9@]"))
-    edge = marked.select(F.xxhash64(order_by).alias("h")).orderBy("h").limit(config.sample_docs).agg(F.max("h")).first()[0]
-    if edge is None:
-        return None
-    sample = marked.filter(F.xxhash64(order_by) <= edge).select(text).mapInArrow(batched(windows, text), "found array<struct<text:string,spans:array<struct<k:long,lo:long,hi:long>>>>")
+    sample = sampled(docs.filter(F.col(text).rlike("[0-9@]")), order_by, config.sample_docs).select(text).mapInArrow(batched(windows, text), "found array<struct<text:string,spans:array<struct<k:long,lo:long,hi:long>>>>")
     examples = sorted((w["text"], [(s["k"], s["lo"], s["hi"]) for s in w["spans"]]) for r in sample.collect() for w in r["found"])
     if not any(s for _, s in examples):
         return None

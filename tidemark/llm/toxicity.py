@@ -5,7 +5,7 @@
 2. Log-odds of a feature between toxic and clean labelled documents, with an informative
    Dirichlet prior in proportion to the feature's frequency over both, and their standard
    errors. Features with a z-score and log-odds high enough form the lexicon (at most
-   ``most_features``, the highest). It is fitted on at most ``sample_docs`` labelled rows;
+   ``most_features``, the highest). It is fitted on about ``sample_docs`` labelled rows;
    features are counted on the executors and only significant ones come to the driver.
 3. A token scores its best feature's log-odds; any other token scores ``-drift``. A
    linear scan finds all maximal-scoring segments of a whole text.
@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import batched, fold, table
+from tidemark.llm.common import batched, fold, sampled, table
 
 _TOKEN = re.compile(r"\w+").findall
 
@@ -142,12 +142,8 @@ def _extreme_value(scores: np.ndarray, weights: np.ndarray) -> float:
 
 
 def train_toxicity(labelled: DataFrame, text: str = "text", label: str = "toxic", id_col: str = "doc_id", config: ToxicConfig = ToxicConfig()) -> ToxicModel | None:
-    """Fit on the ``sample_docs`` labelled rows with the smallest hashes of their ids."""
-    rows = labelled.filter(F.col(label).isin(0, 1)).select(F.xxhash64(id_col).alias("h"), F.col(label).cast("int").alias("y"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    edge = rows.select("h").orderBy("h").limit(config.sample_docs).agg(F.max("h")).first()[0]
-    if edge is None:
-        return None
-    rows = rows.filter(F.col("h") <= edge)
+    """Fit on about ``sample_docs`` labelled rows, chosen by the hash of their ids."""
+    rows = sampled(labelled.filter(F.col(label).isin(0, 1)), id_col, config.sample_docs).select(F.col(label).cast("int").alias("y"), F.coalesce(F.col(text), F.lit("")).alias("text"))
 
     def count(batch: pa.RecordBatch) -> pa.RecordBatch:
         seen: dict[int, Counter] = {0: Counter(), 1: Counter()}
