@@ -48,27 +48,36 @@ class SuffixConfig:
     #: Bytes of the k-gram that keys a window, for one level after another, as shares of ``length``.
     levels: tuple[float, ...] = (0.16, 0.8, 1.0)
     max_classes: int = 3000
-    batch_bytes: int = 1_000_000
+    batch_bytes: int = 500_000
 
 
 _BASES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03))
 
 
 class Rolling:
-    """Hashes of any byte range, from prefix sums modulo 2**64."""
+    """Hashes of any byte range, from prefix sums modulo 2**64; powers are kept between texts."""
+
+    powers: dict[np.uint64, tuple[np.ndarray, np.ndarray]] = {}
 
     def __init__(self, data: np.ndarray, base: np.uint64):
         n = len(data) + 1
-        power = np.full(n, base, np.uint64)
-        power[0] = 1
-        inverse = np.full(n, pow(int(base), -1, 1 << 64), np.uint64)
-        inverse[0] = 1
-        self.inverse = np.cumprod(inverse)
+        if base not in self.powers or len(self.powers[base][0]) < n:
+            both = []
+            for b in (int(base), pow(int(base), -1, 1 << 64)):
+                each = np.full(max(n, 1 << 19), b, np.uint64)
+                each[0] = 1
+                both.append(np.cumprod(each))
+            self.powers[base] = (both[0], both[1])
+        power, self.inverse = self.powers[base]
         self.sums = np.zeros(n, np.uint64)
-        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * np.cumprod(power)[:-1], out=self.sums[1:])
+        values = data.astype(np.uint64)
+        values += np.uint64(1)
+        values *= power[: n - 1]
+        np.cumsum(values, out=self.sums[1:])
 
     def of(self, lo: np.ndarray | slice, hi: np.ndarray | slice) -> np.ndarray:
-        return mix((self.sums[hi] - self.sums[lo]) * self.inverse[lo])
+        at = self.inverse[: len(self.sums)]
+        return mix((self.sums[hi] - self.sums[lo]) * at[lo])
 
 
 def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
@@ -131,27 +140,30 @@ def two_stage_order(data: bytes, spans: list[tuple[int, int]], length: int) -> n
     puts each of the former where its successor's place asks for.
     """
     text = np.frombuffer(data, np.uint8)
-    direct = np.zeros(len(text), bool)
-    induced = np.zeros(len(text), bool)
-    seeds, keys, wanted = [], [], []
-    for lo, hi in spans:
-        own = text[lo:hi].astype(np.int16)
-        step = np.diff(own)
-        nxt = np.where(step != 0, np.arange(len(step)), len(step))
-        nxt = np.minimum.accumulate(nxt[::-1])[::-1]
-        smaller = np.append(np.append(step, -1)[nxt] > 0, False)
-        n = hi - lo - length + 1
-        after = np.flatnonzero(smaller[n - 1 :])
-        last = n - 1 + (int(after[0]) if len(after) else len(own) - n)
-        direct[lo : lo + last + 1] = smaller[: last + 1]
-        induced[lo : lo + last + 1] = ~smaller[: last + 1]
-        if not len(after):
-            seeds.append(hi - 1)
-        for i in (np.flatnonzero(smaller[: last + 1]) + lo).tolist():
-            keys.append((data[i : min(i + length, hi)], i))
-        wanted.append(np.arange(lo, lo + n))
-    keys.sort()
-    first = np.array([i for _, i in keys], np.int64)
+    lo, hi = np.array(spans, np.int64).reshape(-1, 2).T
+    step = np.zeros(len(text), np.int16)
+    step[:-1] = np.diff(text.astype(np.int16))
+    step[hi - 1] = -1
+    every = np.arange(len(text))
+
+    def upcoming(mask: np.ndarray) -> np.ndarray:
+        return np.minimum.accumulate(np.where(mask, every, len(text))[::-1])[::-1]
+
+    smaller = step[upcoming(step != 0)] > 0
+    final = hi - length
+    last = upcoming(smaller)[final]
+    open_end = last >= hi
+    last[open_end] = hi[open_end] - 1
+    edges = np.zeros(len(text) + 1, np.int32)
+    edges[lo] += 1
+    edges[last + 1] -= 1
+    inside = np.cumsum(edges[:-1]) > 0
+    direct, induced = inside & smaller, inside & ~smaller
+    seeds = last[open_end]
+    own = np.flatnonzero(direct)
+    stop = np.minimum(own + length, hi[np.searchsorted(hi, own, "right")])
+    keys = [data[x:y] for x, y in zip(own.tolist(), stop.tolist(), strict=True)]
+    first = own[sorted(range(len(keys)), key=keys.__getitem__)]
     del keys
     counts_l = np.bincount(text[induced], minlength=256)
     counts_s = np.bincount(text[direct], minlength=256)
@@ -172,25 +184,21 @@ def two_stage_order(data: bytes, spans: list[tuple[int, int]], length: int) -> n
         order[heads[c] + np.arange(len(c)) - np.repeat(new, size)] = found
         heads[c[new]] += size
 
-    ends = np.array(seeds, np.int64)
     from_next = induced.copy()
-    from_next[ends] = False
+    from_next[seeds] = False
 
     def before(part: np.ndarray) -> np.ndarray:
         p = part[part > 0] - 1
         return p[from_next[p]]
 
-    push(ends)
+    push(seeds)
     for c in np.flatnonzero(counts_l + counts_s).tolist():
         at = int(begin[c])
         while at < heads[c]:
             at, part = int(heads[c]), order[at : heads[c]]
             push(before(part))
         push(before(order[begin[c] + counts_l[c] : begin[c] + counts_l[c] + counts_s[c]]))
-    use = np.zeros(len(text), bool)
-    for w in wanted:
-        use[w] = True
-    return order[use[order]]
+    return order[order <= final[np.searchsorted(hi, order, "right")]]
 
 
 def adjacent_prefixes(data: bytes, order: np.ndarray, length: int) -> np.ndarray:
@@ -220,8 +228,8 @@ def repeated_starts(texts: list[bytes], length: int) -> list[list[tuple[int, int
     hit[order[np.flatnonzero(same) - 1]] = True
     out = []
     for lo, hi in spans:
-        edge = np.diff(np.concatenate([[0], hit[lo:hi].view(np.int8), [0]]))
-        out.append(list(zip(np.flatnonzero(edge > 0).tolist(), np.flatnonzero(edge < 0).tolist(), strict=True)))
+        edge = np.flatnonzero(np.diff(hit[lo:hi].view(np.int8), prepend=0, append=0)).tolist()
+        out.append(list(zip(edge[::2], edge[1::2], strict=True)))
     return out
 
 
@@ -276,7 +284,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", config: SuffixConfig = S
             uid = batch.column("uid").to_numpy()
             return _run_rows(uid, np.zeros(len(uid), np.int64), [(t or "").encode() for t in batch.column("text").to_pylist()], length, k)
 
-        return batched(work)
+        return batched(work, most=400_000)
 
     def deeper(k: int):
         def work(batch: pa.RecordBatch) -> pa.RecordBatch | None:
