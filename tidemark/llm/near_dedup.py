@@ -10,12 +10,16 @@
    copies costs one row.
 3. Signatures are cut into bands of ``rows`` slots. At the threshold of 0.8 a linked
    pair shares none of 24 bands of 4 with probability 3e-6.
-4. In each band's bucket, all meet the smallest id; these pairs are verified on their
-   full sets. Links are closed to components. Only in buckets that still hold several
-   components do members of different components meet, and only with those not tested
-   yet whose sizes can reach the threshold; they are verified on full sets as well. So
-   a bucket of copies of one text costs one pair a row, and no candidate is dropped.
-5. Components by alternating stars: rounds of joins on links, each written to the shared
+4. Shingles that no other candidate holds can't be shared, so they bound the similarity
+   of every pair of their text: texts that can't reach the threshold with anyone, and
+   pairs that can't with each other, are left out without loss.
+5. In each band's bucket, all meet the text with the smallest share of such shingles (of
+   edited copies, the original); these pairs are verified on their full sets. Links are
+   closed to components. Only buckets that still hold several components go on; they
+   are cut into blocks of ``block`` texts, and each pair of blocks is compared at once by
+   a product of incidence matrices on the full sets. Links are all that comes out, a
+   task holds two blocks, and no link is lost.
+6. Components by alternating stars: rounds of joins on links, each written to the shared
    folder, until nothing changes; the distributed form of union-find with the smallest
    id as root. Nothing is collected.
 
@@ -44,6 +48,8 @@ class NearConfig:
     percent: int = 80
     bands: int = 24
     rows: int = 4
+    #: Texts on one side of a block when the rest of a bucket is compared.
+    block: int = 256
 
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -131,6 +137,51 @@ def _sets_work(size: int):
     return work
 
 
+def cell_links(ids: list[int], roots: list[int], items: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """Linked pairs with different roots among a block of sets, from products of their incidence matrices."""
+    if len(set(roots)) < 2:
+        return []
+    sizes = np.array([len(x) for x in items])
+    _, inverse, counts = np.unique(np.concatenate(items), return_inverse=True, return_counts=True)
+    column = np.cumsum(counts > 1) - 1
+    held = counts[inverse] > 1
+    owner, column = np.repeat(np.arange(len(ids)), sizes)[held], column[inverse][held]
+    by = np.argsort(column, kind="stable")
+    owner, column = owner[by], column[by]
+    both = np.zeros((len(ids), len(ids)), np.float32)
+    for lo in range(0, int(column[-1]) + 1 if len(column) else 0, 4096):
+        a, b = np.searchsorted(column, [lo, lo + 4096])
+        part = np.zeros((len(ids), 4096), np.float32)
+        part[owner[a:b], column[a:b] - lo] = 1
+        both += part @ part.T
+    r, n = np.array(roots), np.array(ids)
+    good = (100 * both >= percent * (sizes[:, None] + sizes - both)) & (r[:, None] != r) & (n[:, None] < n)
+    return [(int(n[x]), int(n[y])) for x, y in zip(*np.nonzero(good), strict=True)]
+
+
+def _cell_links(percent: int):
+    """Streams rows sorted by cell and emits the links of each cell."""
+
+    def run(batches):
+        key, ids, roots, items = None, [], [], []
+        for batch in batches:
+            lists = batch.column("items")
+            values, offsets = lists.values.to_numpy(), lists.offsets.to_numpy()
+            found = []
+            for n, row in enumerate(zip(*[batch.column(c).to_pylist() for c in ("band", "i", "j", "id", "root")], strict=True)):
+                if row[:3] != key:
+                    found += cell_links(ids, roots, items, percent) if ids else []
+                    key, ids, roots, items = row[:3], [], [], []
+                ids.append(row[3])
+                roots.append(row[4])
+                items.append(values[offsets[n] : offsets[n + 1]].copy())
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], ["a", "b"])
+        found = cell_links(ids, roots, items, percent) if ids else []
+        yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], ["a", "b"])
+
+    return run
+
+
 def components(links: DataFrame, tag: str) -> DataFrame:
     """``id`` and ``root`` (the smallest id reachable) of every id in ``links`` (a, b)."""
     edges = save(links.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), f"{tag}-links")
@@ -158,34 +209,37 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     heads = known.groupBy(*key).agg(F.min_by(F.struct("id", "bands"), "id").alias("head"))
     heads = save(heads.select(*key, "head.*"), "op3-classes")
     rows = heads.select(F.explode("bands").alias("band"), "id", "size")
-    shared = rows.groupBy("band").agg(F.count(F.lit(1)).alias("c"), F.min("id").alias("pivot")).filter("c > 1")
-    buckets = save(rows.join(shared.select("band", "pivot"), "band"), "op3-buckets")
+    shared = rows.groupBy("band").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("band")
+    buckets = save(rows.join(shared, "band", "left_semi"), "op3-buckets")
     wanted = buckets.select("id").distinct()
     sets = save(source.join(wanted, "id", "left_semi").mapInArrow(batched(_sets_work(config.shingle)), "id long, items array<long>"), "op3-sets")
+    lone = sets.select("id", F.explode("items").alias("e")).groupBy("e").agg(F.count(F.lit(1)).alias("c"), F.min("id").alias("id")).filter("c = 1")
+    lone = save(lone.groupBy("id").agg(F.count(F.lit(1)).alias("lone")), "op3-lone")
     p = config.percent
 
-    def verified(pairs: DataFrame, tag: str) -> DataFrame:
+    def verified(pairs: DataFrame) -> DataFrame:
         a = sets.select(F.col("id").alias("a"), F.col("items").alias("x"))
         b = sets.select(F.col("id").alias("b"), F.col("items").alias("y"))
         common = pairs.join(a, "a").join(b, "b").select("a", "b", F.size(F.array_intersect("x", "y")).cast("long").alias("both"), (F.size("x") + F.size("y")).cast("long").alias("sum"))
-        return save(common.select("a", "b", (100 * F.col("both") >= p * (F.col("sum") - F.col("both"))).alias("linked")), tag)
+        return common.filter(100 * F.col("both") >= p * (F.col("sum") - F.col("both"))).select("a", "b")
 
-    def can(a: str, b: str):
-        return F.expr(f"100 * least({a}, {b}) >= {p} * greatest({a}, {b})")
+    def can(size_a: str, own_a: str, size_b: str, own_b: str):
+        return F.expr(f"100 * least({own_a}, {own_b}) >= {p} * ({size_a} + {size_b} - least({own_a}, {own_b}))")
 
-    sized = heads.select(F.col("id").alias("pivot"), F.col("size").alias("pivot_size"))
-    first = buckets.filter("id > pivot").select("id", "size", "pivot").distinct().join(sized, "pivot").filter(can("size", "pivot_size"))
-    first = verified(first.select(F.col("pivot").alias("a"), F.col("id").alias("b")), "op3-first")
-    links = first.filter("linked").select("a", "b")
+    owned = buckets.join(lone, "id", "left").select("band", "id", "size", (F.col("size") - F.coalesce("lone", F.lit(0))).alias("own"))
+    owned = save(owned.filter(can("size", "own", "own", "own")), "op3-owned")
+    pivot = owned.groupBy("band").agg(F.min(F.struct((1 - F.col("own") / F.col("size")).alias("rate"), F.col("id").alias("pivot"), F.col("size").alias("n"), F.col("own").alias("m"))).alias("p")).select("band", "p.pivot", "p.n", "p.m")
+    first = owned.join(pivot, "band").filter("id <> pivot").filter(can("size", "own", "n", "m")).select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct()
+    links = save(verified(first), "op3-first")
     roots = components(links, "op3-a")
-    grouped = buckets.drop("pivot").join(roots, "id", "left").select("band", "id", "size", F.coalesce("root", "id").alias("root"))
+    grouped = owned.join(roots, "id", "left").select("band", "id", "size", "own", F.coalesce("root", "id").alias("root"))
     open_ = grouped.groupBy("band").agg(F.min("root").alias("r"), F.max("root").alias("s")).filter("r <> s").select("band")
     grouped = save(grouped.join(open_, "band", "left_semi"), "op3-open")
-    x = grouped.select("band", F.col("id").alias("a"), F.col("size").alias("m"), F.col("root").alias("r"))
-    y = grouped.select("band", F.col("id").alias("b"), F.col("size").alias("n"), F.col("root").alias("s"))
-    rest = x.join(y, (x.band == y.band) & (x.a < y.b) & (x.r != y.s) & can("m", "n")).select("a", "b").distinct()
-    rest = rest.join(first.select("a", "b"), ["a", "b"], "left_anti")
-    second = verified(rest, "op3-second").filter("linked").select("a", "b")
+    parts = grouped.groupBy("band").agg(F.ceil(F.count(F.lit(1)) / config.block).cast("int").alias("parts"))
+    placed = grouped.join(parts, "band").withColumn("i", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    cells = placed.select("band", "id", "root", "i", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("j")).select("band", F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"), "id", "root")
+    cells = cells.join(sets, "id").repartition("band", "i", "j").sortWithinPartitions("band", "i", "j")
+    second = save(cells.select("band", "i", "j", "id", "root", "items").mapInArrow(_cell_links(p), "a long, b long").distinct(), "op3-second")
     if not second.isEmpty():
         roots = components(links.union(second), "op3-b")
     classes = heads.join(roots, "id", "left").select(*key, F.coalesce("root", "id").alias("component"))
