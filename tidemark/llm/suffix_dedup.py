@@ -6,7 +6,7 @@ the same text or another, is removed; matches never cross texts.
 1. Each start of a ``length``-byte window is keyed by the window's smallest k-gram
    hash. Equal windows have equal keys, whatever text they are in, and consecutive
    starts whose leftmost such k-gram is the same form a run; a text has about one run
-   for every 170 bytes. Two equal windows of one text are in different runs.
+   for every 120 bytes. Two equal windows of one text are in different runs.
 2. Keys that occur once can't hold a repeat. Of the others, runs with equal bytes form
    a class, and a class enters the sort with at most two of its runs: two copies show
    that each of its windows repeats, and more copies can't change that. So a passage
@@ -14,9 +14,9 @@ the same text or another, is removed; matches never cross texts.
 3. Runs are dealt by key. A task sorts a few megabytes of whole keys at a time:
    suffixes smaller than their successors are sorted directly, the others are induced
    by scanning the buckets, and adjacent common prefixes mark the starts that repeat.
-4. A key with more than ``max_classes`` classes isn't gathered in one task: its runs
-   are keyed anew by longer k-grams, and finally by the whole window, where a key has
-   one class. No window is lost on the way.
+4. A key with more than ``max_classes`` classes isn't gathered in one task: its classes
+   are taken as texts of their own and keyed anew by longer k-grams, and finally by the
+   whole window, where a key has one class. No window is lost on the way.
 5. Repeats of a class hold for all its runs; ranges go back to their texts.
 
 Classes are told apart by 128 hashed bits and the length.
@@ -46,7 +46,7 @@ RUNS = "uid long, start int, h long, r1 long, r2 long, n int"
 class SuffixConfig:
     length: int = 400
     #: Bytes of the k-gram that keys a window, for one level after another, as shares of ``length``.
-    levels: tuple[float, ...] = (0.16, 0.8, 1.0)
+    levels: tuple[float, ...] = (0.4, 0.8, 1.0)
     max_classes: int = 3000
     batch_bytes: int = 500_000
 
@@ -120,16 +120,33 @@ def runs(data: np.ndarray, ends: np.ndarray, length: int, k: int) -> tuple[np.nd
     return s, n, key[at].view(np.int64), first.of(s, stop).view(np.int64), second.of(s, stop).view(np.int64)
 
 
-def _run_rows(uid: np.ndarray, origin: np.ndarray, texts: list[bytes], length: int, k: int) -> pa.RecordBatch:
-    data = np.frombuffer(b"".join(texts), np.uint8)
-    ends = np.cumsum([len(t) for t in texts]) if texts else np.zeros(0, np.int64)
-    s, n, h, r1, r2 = runs(data, ends, length, k)
-    owner = np.searchsorted(ends, s, "right")
-    begin = np.concatenate([[0], ends[:-1]])[owner] if len(s) else s
-    return pa.RecordBatch.from_arrays(
-        [pa.array(uid[owner], pa.int64()), pa.array((origin[owner] + s - begin).astype(np.int32)), pa.array(h), pa.array(r1), pa.array(r2), pa.array(n.astype(np.int32))],
-        ["uid", "start", "h", "r1", "r2", "n"],
-    )
+def _run_work(length: int, k: int):
+    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+        texts = [t or b"" for t in batch.column("raw").to_pylist()]
+        ends = np.cumsum([len(t) for t in texts])
+        s, n, h, r1, r2 = runs(np.frombuffer(b"".join(texts), np.uint8), ends, length, k)
+        owner = np.searchsorted(ends, s, "right")
+        begin = np.concatenate([[0], ends[:-1]])[owner]
+        uid = batch.column("uid").to_numpy()[owner]
+        return pa.RecordBatch.from_arrays(
+            [pa.array(uid, pa.int64()), pa.array((s - begin).astype(np.int32)), pa.array(h), pa.array(r1), pa.array(r2), pa.array(n.astype(np.int32))],
+            ["uid", "start", "h", "r1", "r2", "n"],
+        )
+
+    return batched(work, "raw", most=400_000)
+
+
+def _cut_work(length: int):
+    """The bytes of the picked runs of each text."""
+
+    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+        rows = []
+        for raw, parts in zip(batch.column("raw").to_pylist(), batch.column("runs").to_pylist(), strict=True):
+            rows += [(p["h"], p["r1"], p["r2"], p["n"], p["hot"], raw[p["start"] : p["start"] + p["n"] + length - 1]) for p in parts]
+        cols = list(zip(*rows, strict=True)) or [()] * 6
+        return pa.RecordBatch.from_arrays([*[pa.array(c, pa.int64()) for c in cols[:3]], pa.array(cols[3], pa.int32()), pa.array(cols[4], pa.bool_()), pa.array(cols[5], pa.binary())], [*RUN, "hot", "bytes"])
+
+    return batched(work, "raw", most=1_000_000)
 
 
 def two_stage_order(data: bytes, spans: list[tuple[int, int]], length: int) -> np.ndarray:
@@ -269,6 +286,34 @@ def _cover(starts: list[int], ranges: list[list[dict]], length: int) -> list[tup
     return spans
 
 
+def repeats(source: DataFrame, config: SuffixConfig, depth: int = 0) -> DataFrame:
+    """``uid``, ``start`` and ``ranges`` of the runs of (uid, raw) that hold windows found elsewhere."""
+    length, levels = config.length, [max(1, round(x * config.length)) for x in config.levels]
+    found = source.mapInArrow(_run_work(length, levels[depth]), RUNS)
+    twice = save(found.groupBy("h").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("h"), "op2-keys")
+    members = save(found.join(twice, "h", "left_semi"), "op2-runs")
+    place = F.struct("uid", "start")
+    classes = members.groupBy(*RUN).agg(F.count(F.lit(1)).alias("c"), F.min(place).alias("a"), F.max(place).alias("b"))
+    hot = None
+    if depth + 1 < len(levels):
+        hot = save(classes.groupBy("h").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") > config.max_classes).select("h", F.lit(True).alias("hot")), "op2-hot")
+        hot = None if hot.isEmpty() else hot
+    classes = classes.withColumn("hot", F.lit(False)) if hot is None else classes.join(hot, "h", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
+    picks = classes.select(*RUN, "hot", F.explode(F.when(F.col("c") == 1, F.array("a")).otherwise(F.array("a", "b"))).alias("p"))
+    picks = picks.groupBy("p.uid").agg(F.collect_list(F.struct("p.start", *RUN, "hot")).alias("runs"))
+    pieces = source.join(picks, "uid").mapInArrow(_cut_work(length), "h long, r1 long, r2 long, n int, hot boolean, bytes binary")
+    pieces = pieces if hot is None else save(pieces, "op2-pieces")
+    cold = pieces.filter("NOT hot").select(*RUN, "bytes").repartition("h").sortWithinPartitions("h")
+    marked = save(cold.mapInArrow(_sort_tasks(length, config.batch_bytes), "h long, r1 long, r2 long, n int, ranges array<struct<lo:int,hi:int>>"), "op2-marks")
+    if hot is not None:
+        keyed = save(pieces.filter("hot").select(*RUN, F.col("bytes").alias("raw"), F.monotonically_increasing_id().alias("uid")), "op2-deeper")
+        inner = repeats(keyed.select("uid", "raw"), config, depth + 1).select("uid", F.explode("ranges").alias("r"), "start")
+        moved = F.struct((F.col("start") + F.col("r.lo")).alias("lo"), (F.col("start") + F.col("r.hi")).alias("hi"))
+        inner = inner.join(keyed.select("uid", *RUN), "uid").groupBy(*RUN).agg(F.collect_set(moved).alias("ranges"))
+        marked = marked.unionByName(inner)
+    return members.join(marked, RUN).select("uid", "start", "ranges")
+
+
 def remove_repeats(docs: DataFrame, text: str = "text", config: SuffixConfig = SuffixConfig()) -> DataFrame:
     """``row`` (the other columns), ``kept`` (remaining bytes), ``n_bytes`` and ``spans`` of each input row.
 
@@ -277,64 +322,15 @@ def remove_repeats(docs: DataFrame, text: str = "text", config: SuffixConfig = S
     """
     length = config.length
     others = [c for c in docs.columns if c != text]
-    keyed = docs.select(F.xxhash64(*[F.col(f"`{c}`") for c in others], F.col(f"`{text}`")).alias("uid"), F.col(f"`{text}`").alias("text"), F.struct(*[F.col(f"`{c}`") for c in others]).alias("row"))
-
-    def level(k: int):
-        def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-            uid = batch.column("uid").to_numpy()
-            return _run_rows(uid, np.zeros(len(uid), np.int64), [(t or "").encode() for t in batch.column("text").to_pylist()], length, k)
-
-        return batched(work, most=400_000)
-
-    def deeper(k: int):
-        def work(batch: pa.RecordBatch) -> pa.RecordBatch | None:
-            uid, origin, texts = [], [], []
-            for u, t, parts in zip(batch.column("uid").to_pylist(), batch.column("text").to_pylist(), batch.column("runs").to_pylist(), strict=True):
-                raw = t.encode()
-                for p in parts:
-                    uid.append(u)
-                    origin.append(p["start"])
-                    texts.append(raw[p["start"] : p["start"] + p["n"] + length - 1])
-            return _run_rows(np.array(uid, np.int64), np.array(origin, np.int64), texts, length, k)
-
-        return batched(work)
-
-    def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
-        rows = []
-        for t, parts in zip(batch.column("text").to_pylist(), batch.column("runs").to_pylist(), strict=True):
-            raw = t.encode()
-            rows += [(p["h"], p["r1"], p["r2"], p["n"], raw[p["start"] : p["start"] + p["n"] + length - 1]) for p in parts]
-        cols = list(zip(*rows, strict=True)) or [()] * 5
-        return pa.RecordBatch.from_arrays([*[pa.array(c, pa.int64()) for c in cols[:3]], pa.array(cols[3], pa.int32()), pa.array(cols[4], pa.binary())], [*RUN, "bytes"])
-
-    found = None
-    source = keyed.select("uid", "text").mapInArrow(level(max(1, round(config.levels[0] * length))), RUNS)
-    for depth in range(len(config.levels)):
-        twice = save(source.groupBy("h").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("h"), "op2-keys")
-        members = save(source.join(twice, "h", "left_semi"), "op2-runs")
-        place = F.struct("uid", "start")
-        classes = members.groupBy(*RUN).agg(F.count(F.lit(1)).alias("c"), F.min(place).alias("a"), F.max(place).alias("b"))
-        hot = None
-        if depth + 1 < len(config.levels):
-            hot = save(classes.groupBy("h").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") > config.max_classes).select("h"), "op2-hot")
-            hot = None if hot.isEmpty() else hot
-        if hot is not None:
-            classes = classes.join(hot, "h", "left_anti")
-        picks = classes.select(*RUN, F.explode(F.when(F.col("c") == 1, F.array("a")).otherwise(F.array("a", "b"))).alias("p")).groupBy("p.uid").agg(F.collect_list(F.struct("p.start", *RUN)).alias("runs"))
-        pieces = keyed.select("uid", "text").join(picks, "uid").mapInArrow(batched(cut, most=1_000_000), "h long, r1 long, r2 long, n int, bytes binary")
-        marked = save(pieces.repartition("h").sortWithinPartitions("h").mapInArrow(_sort_tasks(length, config.batch_bytes), "h long, r1 long, r2 long, n int, ranges array<struct<lo:int,hi:int>>"), "op2-marks")
-        hits = members.join(marked, RUN).select("uid", "start", "ranges")
-        found = hits if found is None else found.unionByName(hits)
-        if hot is None:
-            break
-        again = members.join(hot, "h", "left_semi").groupBy("uid").agg(F.collect_list(F.struct("start", "n")).alias("runs"))
-        source = keyed.select("uid", "text").join(again, "uid").mapInArrow(deeper(max(1, round(config.levels[depth + 1] * length))), RUNS)
+    body = F.col(f"`{text}`")
+    keyed = docs.select(F.xxhash64(*[F.col(f"`{c}`") for c in others], body).alias("uid"), body.cast("binary").alias("raw"), F.struct(*[F.col(f"`{c}`") for c in others]).alias("row"))
+    found = repeats(keyed.select("uid", "raw"), config)
     per_text = found.groupBy("uid").agg(F.collect_list("start").alias("starts"), F.collect_list("ranges").alias("ranges"))
 
     def apply(batch: pa.RecordBatch) -> pa.RecordBatch:
         kept, sizes, spans = [], [], []
-        for t, s, r in zip(batch.column("text").to_pylist(), batch.column("starts").to_pylist(), batch.column("ranges").to_pylist(), strict=True):
-            raw = (t or "").encode()
+        for t, s, r in zip(batch.column("raw").to_pylist(), batch.column("starts").to_pylist(), batch.column("ranges").to_pylist(), strict=True):
+            raw = t or b""
             own = _cover(s, r, length) if s else []
             kept.append(b"".join(raw[a:b] for a, b in zip([0, *[y for _, y in own]], [*[x for x, _ in own], len(raw)], strict=True)))
             sizes.append(len(raw))
@@ -342,7 +338,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", config: SuffixConfig = S
         return pa.RecordBatch.from_arrays([batch.column("row"), pa.array(kept, pa.binary()), pa.array(sizes, pa.int64()), pa.array(spans, pa.list_(pa.struct([("lo", pa.int64()), ("hi", pa.int64())])))], ["row", "kept", "n_bytes", "spans"])
 
     row = ", ".join(f"`{f.name}`: {f.dataType.simpleString()}" for f in keyed.schema["row"].dataType.fields)
-    return keyed.join(per_text, "uid", "left").mapInArrow(batched(apply), f"row struct<{row}>, kept binary, n_bytes long, spans array<struct<lo:long,hi:long>>")
+    return keyed.join(per_text, "uid", "left").mapInArrow(batched(apply, "raw"), f"row struct<{row}>, kept binary, n_bytes long, spans array<struct<lo:long,hi:long>>")
 
 
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
