@@ -49,7 +49,7 @@ class NearConfig:
     bands: int = 24
     rows: int = 4
     #: Texts on one side of a block when the rest of a bucket is compared.
-    block: int = 256
+    block: int = 1024
 
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
