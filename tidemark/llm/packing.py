@@ -27,10 +27,13 @@ from __future__ import annotations
 
 import bisect
 import re
+import sys
 import zlib
+from array import array
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
+from types import ModuleType
 
 import numpy as np
 import pyarrow as pa
@@ -54,7 +57,7 @@ class PackConfig:
     open_end: bool = True
     #: Share of the program's solution that is rounded to whole sequences.
     share: float = 0.9
-    cached_words: int = 200_000
+    cached_words: int = 1_200_000
     with_ids: bool = False
 
 
@@ -63,26 +66,73 @@ _CONTROL = re.compile("[\x1c-\x1f]").search
 _PARTS = re.compile(r"[^ \t\n\r]+").findall
 
 
+#: Precomposed Latin letters, whose lower case and normal form don't depend on context, and closing punctuation.
+_PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u0148\u014a-\u017e]+)([.,;:!?]*)").fullmatch
+
+
 class WordTokenizer:
-    """Ids of texts as little-endian unsigned 32-bit integers, exactly as the whole text's."""
+    """Ids of texts as little-endian unsigned 32-bit integers, exactly as the whole text's.
+
+    The tokenizer parts letters from other signs, so a word of plain letters goes to its
+    byte-pair model directly, in lower case, and closing punctuation by itself. Words are
+    kept until ``most`` are known.
+    """
 
     def __init__(self, path: str, most: int):
         from tokenizers import Tokenizer
 
-        self.own, self.most, self.cache = Tokenizer.from_file(path), most, {}
+        self.own, self.most, self.cache, self.stems = Tokenizer.from_file(path), most, {}, {}
+        self.model = self.own.model
+        printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        others = [b for b in range(256) if b not in printable]
+        self.signs = {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(others)}
+
+    @staticmethod
+    def _bytes(ids: list[int]) -> bytes:
+        out = array("I", ids)
+        if sys.byteorder == "big":
+            out.byteswap()
+        return out.tobytes()
+
+    def _full(self, words: list[str]) -> list[bytes]:
+        return [self._bytes(e.ids) for e in self.own.encode_batch_fast(words, add_special_tokens=False)]
+
+    def _mapped(self, letters: str) -> str:
+        return letters if letters.isascii() else letters.encode("utf-8").decode("latin-1").translate(self.signs)
+
+    def _learn(self, words: set[str]) -> None:
+        odd, plain = [], []
+        for w in words:
+            if m := _PLAIN(w):
+                letters, end = m.groups()
+                plain.append((w, letters.lower(), end))
+            else:
+                odd.append(w)
+        stems, tokenize = self.stems, self.model.tokenize
+        for letters in {x for _, x, _ in plain}.difference(stems):
+            stems[letters] = self._bytes([t.id for t in tokenize(self._mapped(letters))])
+        ends = list({e for _, _, e in plain})
+        shown = dict(zip(ends, self._full(ends), strict=True)) if ends else {}
+        self.cache.update((w, stems[x] + shown[e]) for w, x, e in plain)
+        for lo in range(0, len(odd), 4096):
+            self.cache.update(zip(odd[lo : lo + 4096], self._full(odd[lo : lo + 4096]), strict=True))
 
     def ids(self, texts: list[str]) -> list[bytes]:
         split = [_PARTS(t) if _CONTROL(t) else t.split() for t in texts]
-        cache = self.cache
-        new = list({w for words in split for w in words if w not in cache})
-        if len(cache) + len(new) > self.most:
-            cache.clear()
-            new = list({w for words in split for w in words})
-        for lo in range(0, len(new), 4096):
-            part = new[lo : lo + 4096]
-            for w, e in zip(part, self.own.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                cache[w] = np.array(e.ids, "<u4").tobytes()
-        return [b"".join([cache[w] for w in words]) for words in split]
+        if len(self.cache) + len(self.stems) > self.most:
+            self.cache.clear()
+            self.stems.clear()
+        self._learn(set().union(*split).difference(self.cache))
+        look = self.cache.__getitem__
+        return [b"".join(map(look, words)) for words in split]
+
+
+def _tokenizer(path: str, most: int) -> WordTokenizer:
+    """One for each worker process; its cache of words outlives a task."""
+    kept = sys.modules.setdefault("_tidemark_tokenizers", ModuleType("_tidemark_tokenizers")).__dict__
+    if path not in kept:
+        kept[path] = WordTokenizer(path, most)
+    return kept[path]
 
 
 def _pieces(config: PackConfig):
@@ -97,7 +147,7 @@ def _pieces(config: PackConfig):
             import public_tokenizers
 
             path = public_tokenizers.path("word_bpe_49k.json")
-        tokenizer = WordTokenizer(path, config.cached_words)
+        tokenizer = _tokenizer(path, config.cached_words)
         end = np.array([config.end_token], "<u4").tobytes()
         part, seen, size = TaskContext.get().partitionId(), defaultdict(int), config.capacity * 4
         for batch in batches:
