@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import batched, fold, sampled, table
+from tidemark.llm.common import batched, fold, sampled, save, table
 
 _TOKEN = re.compile(r"\w+").findall
 
@@ -141,9 +141,14 @@ def _extreme_value(scores: np.ndarray, weights: np.ndarray) -> float:
     return hi
 
 
-def train_toxicity(labelled: DataFrame, text: str = "text", label: str = "toxic", id_col: str = "doc_id", config: ToxicConfig = ToxicConfig()) -> ToxicModel | None:
-    """Fit on about ``sample_docs`` labelled rows, chosen by the hash of their ids."""
-    rows = sampled(labelled.filter(F.col(label).isin(0, 1)), id_col, config.sample_docs).select(F.col(label).cast("int").alias("y"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+def train_toxicity(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "toxic", id_col: str = "doc_id", config: ToxicConfig = ToxicConfig()) -> ToxicModel | None:
+    """Fit on about ``sample_docs`` labelled rows, chosen by the hash of their ids.
+
+    The chosen labels, whose number is bounded, are broadcast; the texts aren't shuffled.
+    """
+    known = labels.filter(F.col(label).isin(0, 1)).select(F.col(id_col), F.col(label).cast("int").alias("y")).distinct()
+    picked = F.broadcast(sampled(known, id_col, config.sample_docs))
+    rows = save(docs.select(id_col, F.coalesce(F.col(text), F.lit("")).alias("text")).join(picked, id_col).select("y", "text"), "op8-sample")
 
     def count(batch: pa.RecordBatch) -> pa.RecordBatch:
         seen: dict[int, Counter] = {0: Counter(), 1: Counter()}
@@ -235,7 +240,7 @@ def find_toxic(docs: DataFrame, model: ToxicModel | None, text: str = "text") ->
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every whole text of ``documents``; learned from the folds that aren't 2."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    labels = table(spark, sf_dir, "labels").filter(F.col("toxic").isNotNull() & (fold("doc_id", 4) != 2)).select("doc_id", "toxic").distinct()
-    out = find_toxic(docs, train_toxicity(docs.join(labels, "doc_id")))
+    labels = table(spark, sf_dir, "labels").filter(fold("doc_id", 4) != 2)
+    out = find_toxic(docs, train_toxicity(docs, labels))
     held = F.coalesce(fold("row.doc_id", 4) == 2, F.lit(True))
     return out.select(F.col("row.doc_id").alias("doc_id"), held.alias("held_out"), "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"))
