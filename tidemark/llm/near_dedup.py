@@ -183,7 +183,7 @@ def _cell_links(percent: int):
 
 
 def components(links: DataFrame, tag: str) -> DataFrame:
-    """``id`` and ``root`` (the smallest id reachable) of every id in ``links`` (a, b)."""
+    """``id`` and ``root`` (the smallest id reachable) of every id in ``links`` (a, b) that isn't a root itself."""
     edges = save(links.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), f"{tag}-links")
     state = None
     while True:
