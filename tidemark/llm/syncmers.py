@@ -6,7 +6,7 @@ is the first or the last one, which depends on nothing outside the k-mer, so an
 changes only the anchors that it touches. About 2 of every ``k - 1`` k-mers are chosen.
 The anchors of the whole text, hashed to 31 bits, are reduced to the ``sketch`` smallest
 distinct ones: a sample of fixed size that any two texts draw alike. A text without an
-anchor (under ``k`` words, or none chosen) has the hash of all its words.
+anchor (under ``k`` words, or none chosen) has the hashes of its words instead.
 
 ``likeness`` estimates the Jaccard similarity of two texts' anchors from the smallest
 values of the union. Equal texts have equal fingerprints; a null text is empty.
@@ -51,7 +51,8 @@ def fingerprint(df: DataFrame, text: str, out: str, config: SyncmerConfig = Sync
 
     every = F.when(F.size(pairs) < k - 1, F.array().cast("array<int>")).otherwise(F.transform(F.sequence(F.lit(0), F.size(pairs) - (k - 1)), chosen))
     df = df.withColumn(anchors, F.slice(F.sort_array(F.array_distinct(F.filter(every, lambda x: x.isNotNull()))), 1, config.sketch))
-    df = df.withColumn(out, F.when(F.size(anchors) > 0, F.col(anchors)).otherwise(F.array(F.hash(F.col(words)).bitwiseAND(F.lit(2147483647)))))
+    single = F.transform(F.col(words), lambda w: F.hash(w).bitwiseAND(F.lit(2147483647)))
+    df = df.withColumn(out, F.when(F.size(anchors) > 0, F.col(anchors)).otherwise(F.slice(F.sort_array(F.array_distinct(single)), 1, config.sketch)))
     return df.drop(words, pairs, anchors)
 
 
