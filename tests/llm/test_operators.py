@@ -290,6 +290,12 @@ def test_pii(spark, docs):
         shown = ",".join(f"{pii.KINDS[k]}:{a}:{b}" for k, a, b in own)
         assert r["base_sha256"] == hashlib.sha256(shown.encode()).hexdigest()
         assert set(filter(None, shown.split(","))) <= set(r["spans"].split(","))
+    for t, want in [
+        ("thon ly +1 (743) 555-3824 4785380592391139 and the", [(2, 26, 42), (3, 8, 25)]),
+        ("thon ly 4785380592391139 4785380592391139 and the", [(2, 8, 24), (2, 25, 41)]),
+        ("thon ly 2123465659789240, version 10.2 of 1.234.567 and 1999-2004 the", []),
+    ]:
+        assert pii.base_spans(t) == [] and sorted(pii.added_spans(tagger, t, [], pii.PiiConfig())) == want
 
 
 def test_shards(spark, docs):

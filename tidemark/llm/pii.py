@@ -5,14 +5,16 @@
 2. The tagger reads characters in both directions (LSTM) and decodes tags (begin and
    inside for each kind, or none) with learned transitions. It is trained in numpy on
    windows of about ``sample_docs`` texts, labelled by their base spans and by variants
-   of them (a phone number without its plus, with other separators), and on windows with
-   digits or ``@`` but no span.
+   of them (a phone number without its plus, with other separators, a second span right
+   after the first), and on windows with digits or ``@`` but no span. Windows with a match
+   that fails its check but may hide a span, like a phone and a card number in one run of
+   digits and blanks, teach nothing: finding those is what the tagger adds.
 3. Every span of these kinds holds a digit or ``@``, so only windows with one are decoded.
    Windows of ``window`` characters overlap by half; a character takes the tag of the
    window in whose middle half it lies, and spans are read off the stitched tags, so
    a span may cross windows.
 4. A tagged span is added if it touches no base span, its characters' mean posterior is
-   ``min_posterior`` or more and its digits are those of its kind. Base spans stay.
+   ``min_posterior`` or more and it passes its kind's check. Base spans stay.
 
 A null or empty text has no spans. Repeated rows get equal answers. An empty table gives
 an empty result; without a base span to learn from, nothing is added.
@@ -40,6 +42,8 @@ _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+").match
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}").finditer
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+").finditer
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]").finditer
+_IP_ALL = re.compile(r"[0-9]+(?:\.[0-9]+){3}").fullmatch
+_CARD_ALL = re.compile(r"[0-9](?:[\x20-]?[0-9])+").fullmatch
 _DIGIT = re.compile(r"[0-9]").search
 _MARK = re.compile(r"[0-9@]").finditer
 
@@ -54,6 +58,8 @@ class PiiConfig:
     batch: int = 32
     rate: float = 0.02
     min_posterior: float = 0.95
+    #: Chance that a span of the training windows is followed by another one.
+    joined: float = 0.4
     seed: int = 11
 
 
@@ -84,17 +90,30 @@ def emails(text: str) -> list[tuple[int, int]]:
     return out
 
 
-def base_spans(text: str) -> list[Span]:
-    """Kind number, start and end (code points), by kind and then start."""
+def valid(kind: int, s: str) -> bool:
+    """The check of a kind's match."""
+    if kind == 1:
+        return all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or 0) <= 255 for p in s.split("."))
+    if kind == 2:
+        return 13 <= len(d := _digits(s)) <= 19 and luhn(d)
+    return kind == 0 or 9 <= len(_digits(s)) <= 15
+
+
+def matches(text: str) -> list[Span]:
+    """Kind number, start and end (code points) of the patterns' matches, by kind and then start."""
     out = [(0, a, b) for a, b in emails(text)] if "@" in text else []
     if _DIGIT(text):
-        out += [(1, m.start(), m.end()) for m in _IP(text) if all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or 0) <= 255 for p in m[0].split("."))]
-        out += [(2, m.start(), m.end()) for m in _CARD(text) if 13 <= len(d := _digits(m[0])) <= 19 and luhn(d)]
+        out += [(k, m.start(), m.end()) for k, find in ((1, _IP), (2, _CARD)) for m in find(text)]
         if "+" in text:
-            out += [(3, m.start(), m.end()) for m in _PHONE(text) if 9 <= len(_digits(m[0])) <= 15]
+            out += [(3, m.start(), m.end()) for m in _PHONE(text)]
     return out
 
 
+def base_spans(text: str) -> list[Span]:
+    """The matches that pass their check."""
+    return [(k, a, b) for k, a, b in matches(text) if valid(k, text[a:b])]
+
+
 def encode(text: str) -> np.ndarray:
     """Symbols: printable ASCII each, 1 for other ASCII, 2 for the rest; 0 is padding."""
     raw = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
@@ -242,10 +261,14 @@ def train_tagger(docs: DataFrame, text: str = "text", order_by: str = "doc_id",
     def windows(batch: pa.RecordBatch) -> pa.RecordBatch:
         out = []
         for t in batch.column(text).to_pylist():
-            spans, at = base_spans(t), [m.start() for m in _MARK(t)]
+            every, at = matches(t), [m.start() for m in _MARK(t)]
+            spans = [(k, a, b) for k, a, b in every if valid(k, t[a:b])]
+            hiding = [(a, b) for k, a, b in every if k > 1 and len(_digits(t[a:b])) >= 13 and not valid(k, t[a:b])]
             found = []
             for p in [s[1] for s in spans][:4] + at[:: max(1, len(at) // 2)][:2]:
                 lo = max(0, p - size // 3)
+                if any(a < lo + 2 * size and b > lo for a, b in hiding):
+                    continue
                 found.append({"text": t[lo : lo + 2 * size], "spans": [{"k": k, "lo": max(0, a - lo), "hi": min(2 * size, b - lo)} for k, a, b in spans if a < lo + 2 * size and b > lo]})
             out.append(found)
         kind = pa.list_(pa.struct([("text", pa.string()), ("spans", pa.list_(pa.struct([("k", pa.int64()), ("lo", pa.int64()), ("hi", pa.int64())])))]))
@@ -255,6 +278,7 @@ def train_tagger(docs: DataFrame, text: str = "text", order_by: str = "doc_id",
     examples = sorted((w["text"], [(s["k"], s["lo"], s["hi"]) for s in w["spans"]]) for r in sample.collect() for w in r["found"])
     if not any(s for _, s in examples):
         return None
+    pool = [(k, t[lo:hi]) for t, spans in examples for k, lo, hi in spans]
     rng = np.random.default_rng(config.seed)
     xs, ys = [], []
     for k in rng.integers(len(examples), size=config.windows):
@@ -266,6 +290,11 @@ def train_tagger(docs: DataFrame, text: str = "text", order_by: str = "doc_id",
             own = _variant(kind, t[lo:hi], rng)
             parts += [t[at:lo], own]
             tags += [0] * (lo - at) + [1 + 2 * kind] + [2 + 2 * kind] * (len(own) - 1)
+            while rng.random() < config.joined:
+                more, other = pool[rng.integers(len(pool))]
+                gap, other = str(rng.choice([" ", " ", " ", ", ", "\n"])), _variant(more, other, rng)
+                parts += [gap, other]
+                tags += [0] * len(gap) + [1 + 2 * more] + [2 + 2 * more] * (len(other) - 1)
             at = hi
         parts.append(t[at:])
         x, y = encode("".join(parts)), np.array(tags + [0] * (len(t) - at))
@@ -303,8 +332,8 @@ def added_spans(tagger: Tagger, text: str, base: list[Span], config: PiiConfig)
         while e < len(text) and tags[e] == 2 + 2 * kind:
             e += 1
         at = e
-        own, n = text[s:e], len(_digits(text[s:e]))
-        fits = {0: own.count("@") == 1 and "." in own.partition("@")[2], 1: own.count(".") == 3 and 4 <= n <= 12, 2: 13 <= n <= 19 and luhn(_digits(own)), 3: 9 <= n <= 15}[kind]
+        own = text[s:e]
+        fits = [own.count("@") == 1 and "." in own.partition("@")[2], bool(_IP_ALL(own)), bool(_CARD_ALL(own)), not own.isdigit()][kind] and valid(kind, own)
         whole = not ((s and text[s - 1].isalnum()) or (e < len(text) and text[e].isalnum()))
         if fits and whole and sure[s:e].mean() >= config.min_posterior and not taken[s:e].any():
             out.append((kind, s, e))
