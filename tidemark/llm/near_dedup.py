@@ -253,3 +253,22 @@ def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = near_duplicates(table(spark, sf_dir, "documents"), config=NearConfig(shingle=2))
     kept = F.coalesce(F.col("id") == F.col("component"), F.lit(True))
     return out.select(F.col("id").alias("doc_id"), F.col("size").alias("n_shingles"), F.col("component").alias("component_id"), kept.alias("kept"))
+
+
+#: All pairs that share a shingle, counted in full; components by closing the links.
+OP3_SQL = """
+WITH RECURSIVE d AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') AS words FROM documents
+), s AS (
+  SELECT doc_id, CASE WHEN len(words) < 2 THEN words ELSE list_distinct(list_transform(range(1, len(words)), lambda i: words[i] || ' ' || words[i + 1])) END AS items FROM d
+), e AS (SELECT doc_id, len(items) AS n, unnest(items) AS item FROM s),
+shared AS (
+  SELECT x.doc_id AS a, y.doc_id AS b, any_value(x.n) AS m, any_value(y.n) AS n, count(*) AS k
+  FROM e x JOIN e y ON x.item = y.item AND x.doc_id < y.doc_id GROUP BY x.doc_id, y.doc_id
+), links AS (SELECT a, b FROM shared WHERE 100 * k >= 80 * (m + n - k)),
+ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (SELECT a, b FROM ways UNION SELECT r.a, w.b FROM reach r JOIN ways w ON w.a = r.b),
+least_id AS (SELECT a, min(b) AS b FROM reach GROUP BY a)
+SELECT s.doc_id, CAST(len(s.items) AS BIGINT) AS n_shingles, CAST(least(s.doc_id, coalesce(l.b, s.doc_id)) AS BIGINT) AS component_id, least(s.doc_id, coalesce(l.b, s.doc_id)) = s.doc_id AS kept
+FROM s LEFT JOIN least_id l ON l.a = s.doc_id
+"""

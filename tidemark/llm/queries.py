@@ -9,11 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from tidemark.llm.decontaminate import OP7_SQL, op7_decontamination
 from tidemark.llm.language_id import op1_language_id
 from tidemark.llm.line_dedup import op5_line_dedup
-from tidemark.llm.near_dedup import op3_near_dedup
+from tidemark.llm.near_dedup import OP3_SQL, op3_near_dedup
 from tidemark.llm.packing import op6_packing
 from tidemark.llm.pii import op9_pii
 from tidemark.llm.sharding import op10_sharding
-from tidemark.llm.suffix_dedup import op2_suffix_dedup
+from tidemark.llm.suffix_dedup import OP2_SQL, op2_suffix_dedup
 from tidemark.llm.syncmers import op4_syncmers
 from tidemark.llm.toxicity import op8_toxicity
 
@@ -42,4 +42,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_decontamination": OP7_SQL}
+    return {"op2_suffix_dedup": OP2_SQL, "op3_near_dedup": OP3_SQL, "op7_decontamination": OP7_SQL}

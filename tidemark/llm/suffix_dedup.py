@@ -346,3 +346,21 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["hi"] - s["lo"])
     return out.select(F.col("row.doc_id").alias("doc_id"), "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+#: Every 400-byte string by its start, in hexadecimal; overlapping or touching ones are one run.
+OP2_SQL = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+pieces AS (SELECT doc_id, p, h[800 * p + 1:800 * p + 1598] AS h FROM (SELECT doc_id, h, unnest(range(0, (len(h) + 799) // 800)) AS p FROM d)),
+each AS (SELECT doc_id, 400 * p + unnest(range(0, len(h) // 2 - 399)) AS i, unnest(list_transform(range(0, len(h) // 2 - 399), lambda i: md5(h[2 * i + 1:2 * i + 800]))) AS m FROM pieces),
+again AS (SELECT doc_id, i FROM each WHERE m IN (SELECT m FROM each GROUP BY m HAVING count(*) > 1)),
+runs AS (SELECT doc_id, i, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM (SELECT doc_id, i, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= 400 THEN 0 ELSE 1 END AS fresh FROM again)),
+spans AS (SELECT doc_id, min(i) AS lo, max(i) + 400 AS hi FROM runs GROUP BY doc_id, run),
+gaps AS (
+  SELECT doc_id, coalesce(lag(hi) OVER (PARTITION BY doc_id ORDER BY lo), 0) AS begins, lo AS ends FROM spans
+  UNION ALL SELECT d.doc_id, coalesce(max(s.hi), 0), any_value(len(d.h)) // 2 FROM d LEFT JOIN spans s ON s.doc_id = d.doc_id GROUP BY d.doc_id
+), kept AS (SELECT g.doc_id, string_agg(d.h[2 * begins + 1:2 * ends], '' ORDER BY begins) AS h FROM gaps g JOIN d ON d.doc_id = g.doc_id GROUP BY g.doc_id),
+counted AS (SELECT doc_id, sum(hi - lo) AS n_removed, count(*) AS n_spans FROM spans GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(d.h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(c.n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(c.n_spans, 0) AS BIGINT) AS n_spans, sha256(unhex(k.h)) AS kept_sha256
+FROM d JOIN kept k ON k.doc_id = d.doc_id LEFT JOIN counted c ON c.doc_id = d.doc_id
+"""
