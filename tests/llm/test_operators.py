@@ -87,6 +87,21 @@ def test_near_duplicates(spark, docs):
         assert (r["n_shingles"], r["component_id"], r["kept"]) == (len(sets[i]), find(i), find(i) == i)
 
 
+def test_block_pairs_meet_all_other_components(spark):
+    sizes = {1: [200, 1, 1, 5, 40], 2: [3, 2, 1], 3: [64, 64], 4: [2]}
+    rows = [(band, 10_000 * band + 1000 * r + k, 10_000 * band + 1000 * r) for band, own in sizes.items() for r, c in enumerate(own) for k in range(c)]
+    grouped = spark.createDataFrame(rows, "band long, id long, root long")
+    cells, roots = defaultdict(set), {i: r for _, i, r in rows}
+    for r in near_dedup.block_pairs(grouped, 32).collect():
+        assert r["i"] <= r["j"] and r["id"] not in cells[r["band"], r["i"], r["j"]]
+        cells[r["band"], r["i"], r["j"]].add(r["id"])
+    met = {(a, b) for own in cells.values() for a in own for b in own if roots[a] < roots[b]}
+    assert met == {(a, b) for x, a, r in rows for y, b, t in rows if x == y and r < t}
+    assert all(len({roots[i] for i in own}) > 1 for (band, i, j), own in cells.items() if i != j)
+    # Times that each text is sent: the blocks of its band less those of its own great component.
+    assert sum(map(len, cells.values())) == (200 * 3 + 40 * 8 + 7 * 10) + 6 + (64 + 64) * 2 + 2
+
+
 def test_superminhash_estimates_similarity():
     rng = np.random.default_rng(0)
     base = rng.integers(0, 2**63, 1000).astype(np.uint64)

@@ -17,8 +17,10 @@
    edited copies, the original); these pairs are verified on their full sets. Links are
    closed to components. Only buckets that still hold several components go on; they
    are cut into blocks of ``block`` texts, and each pair of blocks is compared at once by
-   a product of incidence matrices on the full sets. Links are all that comes out, a
-   task holds two blocks, and no link is lost.
+   a product of incidence matrices on the full sets. A component as large as a block has
+   blocks of its own, which aren't compared with each other: a bucket of N texts costs
+   N times the number of texts outside its great components. Links are all that comes
+   out, a task holds two blocks, and no link is lost.
 6. Components by alternating stars: rounds of joins on links, each written to the shared
    folder, until nothing changes; the distributed form of union-find with the smallest
    id as root. Nothing is collected.
@@ -35,7 +37,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import batched, mix, save, slices, table
@@ -200,6 +202,25 @@ def components(links: DataFrame, tag: str) -> DataFrame:
     return edges.groupBy("u").agg(F.min("v").alias("root")).select(F.col("u").alias("id"), "root")
 
 
+def block_pairs(grouped: DataFrame, block: int) -> DataFrame:
+    """``band``, ``i``, ``j``, ``id`` and ``root``: each text once for every pair of blocks that it is compared in.
+
+    A band's blocks are numbered from 0: first those of texts in small components, mixed by
+    hash, then those of each component of ``block`` texts or more. Two blocks of one
+    such component, or one with itself, are no pair.
+    """
+    sizes = grouped.groupBy("band", "root").agg(F.count(F.lit(1)).alias("c")).withColumn("own", F.when(F.col("c") >= block, F.ceil(F.col("c") / block)).cast("int"))
+    bands = sizes.groupBy("band").agg(F.ceil(F.sum(F.when(F.col("own").isNull(), F.col("c")).otherwise(0)) / block).cast("int").alias("mixed"), F.coalesce(F.sum("own"), F.lit(0)).cast("int").alias("rest"))
+    order = Window.partitionBy("band").orderBy("root")
+    great = sizes.filter("own IS NOT NULL").select("band", "root", "own", (F.sum("own").over(order) - F.col("own")).cast("int").alias("before"))
+    placed = grouped.select("band", "id", "root").join(bands, "band").join(great, ["band", "root"], "left").withColumn("first", F.col("mixed") + F.col("before"))
+    hashed = F.xxhash64("id")
+    placed = placed.withColumn("at", F.coalesce(F.col("first") + F.pmod(hashed, F.col("own")), F.pmod(hashed, F.greatest("mixed", F.lit(1)))).cast("int"))
+    others = F.filter(F.sequence(F.lit(0), F.col("mixed") + F.col("rest") - 1), lambda y: F.col("own").isNull() | (y < F.col("first")) | (y >= F.col("first") + F.col("own")))
+    met = placed.select("band", "id", "root", "at", F.explode(others).alias("with"))
+    return met.select("band", F.least("at", "with").alias("i"), F.greatest("at", "with").alias("j"), "id", "root")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", config: NearConfig = NearConfig()) -> DataFrame:
     """``id``, ``size`` (of the set) and ``component`` of each input row."""
     source = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text}`").alias("text"))
@@ -235,9 +256,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     grouped = owned.join(roots, "id", "left").select("band", "id", "size", "own", F.coalesce("root", "id").alias("root"))
     open_ = grouped.groupBy("band").agg(F.min("root").alias("r"), F.max("root").alias("s")).filter("r <> s").select("band")
     grouped = save(grouped.join(open_, "band", "left_semi"), "op3-open")
-    parts = grouped.groupBy("band").agg(F.ceil(F.count(F.lit(1)) / config.block).cast("int").alias("parts"))
-    placed = grouped.join(parts, "band").withColumn("i", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
-    cells = placed.select("band", "id", "root", "i", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("j")).select("band", F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"), "id", "root")
+    cells = block_pairs(grouped, config.block)
     cells = cells.join(sets, "id").repartition("band", "i", "j").sortWithinPartitions("band", "i", "j")
     second = save(cells.select("band", "i", "j", "id", "root", "items").mapInArrow(_cell_links(p), "a long, b long").distinct(), "op3-second")
     if not second.isEmpty():
