@@ -163,6 +163,13 @@ def test_lines(spark, docs):
             first.setdefault(x, i)
 
 
+def test_copies_of_a_holder_change_nothing(spark):
+    df = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text")
+    many = df.union(spark.range(1000, 1200).select("id", F.concat(F.lit("one line that all of these documents hold\n"), F.col("id").cast("string")).alias("text")))
+    out = [sorted(line_dedup.remove_shared_lines(many, config=line_dedup.LineConfig(pairs_a_copy=n)).select("row.doc_id", "kept", "n_dropped").collect()) for n in (3, 1024)]
+    assert out[0] == out[1] and sum(r["n_dropped"] for r in out[0]) >= 199
+
+
 def test_patience_blocks():
     assert line_dedup.common_blocks([1, 2, 3, 4, 5, 9], [7, 2, 3, 8, 5, 9, 9]) == [(1, 3), (4, 5), (6, 7)]
     rng = random.Random(2)

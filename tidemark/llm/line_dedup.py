@@ -3,7 +3,8 @@
 1. Each text is cut at line feeds and its lines are hashed (64 bits).
 2. For every line that several documents hold, each later holder is paired with the
    earliest one, so a line in a third of all documents costs one pair a document and
-   nothing is left out. Documents are ordered by id, then by their text's hash.
+   nothing is left out. Documents are ordered by id, then by their text's hash. A holder
+   of frequent lines is copied, and its pairs are dealt over the copies.
 3. A later document meets its partners in the order of the rarest line that they share.
    Patience diff aligns the two line sequences: lines that occur once in both, in
    longest increasing order, are anchors; matches grow from them and between them.
@@ -35,6 +36,8 @@ from tidemark.llm.common import save, table
 @dataclass(frozen=True)
 class LineConfig:
     min_chars: int = 20
+    #: Later holders of a line that meet one copy of its earliest holder.
+    pairs_a_copy: int = 1024
 
 
 def matched_lines(a: list[int], b: list[int]) -> list[tuple[int, int]]:
@@ -133,7 +136,10 @@ def remove_shared_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "te
     first = save(held.groupBy("h").agg(F.min("doc").alias("first"), F.count(F.lit(1)).alias("c")).filter("c > 1"), "op5-shared")
     pairs = held.join(first, "h").filter("doc > first").groupBy("doc", "first").agg(F.min("c").alias("rarity"), F.collect_set("h").alias("shared"))
     one = seq.dropDuplicates(["doc"])
-    partners = pairs.join(one.select(F.col("doc").alias("first"), F.col("lines").alias("earlier")), "first")
+    copies = lambda c: F.ceil(F.col(c) / config.pairs_a_copy)
+    firsts = first.groupBy("first").agg(F.max("c").alias("most")).select("first", F.explode(F.sequence(F.lit(0).cast("long"), copies("most") - 1)).alias("copy"))
+    earlier = firsts.join(one.select(F.col("doc").alias("first"), F.col("lines").alias("earlier")), "first")
+    partners = pairs.withColumn("copy", F.pmod(F.xxhash64("doc"), copies("rarity"))).join(earlier, ["first", "copy"]).drop("copy")
     partners = partners.groupBy("doc").agg(F.collect_list(F.struct("rarity", "first", "shared", "earlier")).alias("partners"))
     kind = docs.schema[id_col].dataType.simpleString()
     gone = save(one.join(partners, "doc").mapInArrow(_align(config.min_chars), f"doc struct<id:{kind},th:bigint>, gone array<boolean>"), "op5-gone")
