@@ -163,6 +163,39 @@ def test_lines(spark, docs):
             first.setdefault(x, i)
 
 
+def aligned_with_all_earlier(texts):
+    out, seen = [], []
+    for text in texts:
+        own = text.split("\n")
+        code, sizes = [hash(x) if x.strip(" ") else 0 for x in own], [len(x) for x in own]
+        gone = [False] * len(own)
+        for other in seen:
+            if (set(code) & set(other)) - {0}:
+                for lo, hi in line_dedup.common_blocks(other, code):
+                    if sum(sizes[lo:hi]) >= 20:
+                        gone[lo:hi] = [True] * (hi - lo)
+        seen.append(code)
+        out.append("\n".join(x for x, g in zip(own, gone) if not g))
+    return out
+
+
+def test_lines_meet_every_earlier_holder(spark):
+    rng = random.Random(7)
+    pool = [f"passage number {k} of twenty or more characters" for k in range(6)] + ["short a", "short b", "nine chars", "", " ", " " * 12]
+    texts = ["\n".join(rng.choice(pool) for _ in range(rng.randint(1, 7))) for _ in range(300)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    config = line_dedup.LineConfig(pairs_a_copy=16, batch=4, growth=4, partners_a_row=4)
+    got = {r["doc_id"]: r["kept"] for r in line_dedup.remove_shared_lines(df, config=config).select("row.doc_id", "kept").collect()}
+    assert [got[i] for i in range(len(texts))] == aligned_with_all_earlier(texts)
+
+
+def test_documents_meet_every_earlier_holder(spark, docs):
+    rows = {r["doc_id"]: r["kept_sha256"] for r in result(spark, "op5_line_dedup")}
+    order = sorted(docs)
+    want = aligned_with_all_earlier([docs[i]["text"] for i in order])
+    assert [rows[i] for i in order] == [hashlib.sha256(t.encode()).hexdigest() for t in want]
+
+
 def test_copies_of_a_holder_change_nothing(spark):
     df = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text")
     many = df.union(spark.range(1000, 1200).select("id", F.concat(F.lit("one line that all of these documents hold\n"), F.col("id").cast("string")).alias("text")))

@@ -1,14 +1,19 @@
 """Line deduplication by pairwise alignment.
 
 1. Each text is cut at line feeds and its lines are hashed (64 bits).
-2. For every line that several documents hold, each later holder is paired with the
-   earliest one, so a line in a third of all documents costs one pair a document and
-   nothing is left out. Documents are ordered by id, then by their text's hash. A holder
-   of frequent lines is copied, and its pairs are dealt over the copies.
-3. A later document meets its partners in the order of the rarest line that they share.
-   Patience diff aligns the two line sequences: lines that occur once in both, in
+2. A block can only go if it holds a run of lines that reaches ``min_chars`` characters.
+   The shortest such runs from each line on, and up to each line, are a document's keys:
+   any line of a common block lies in a key that both documents hold.
+3. Each later holder of a key is first paired with the key's earliest holder, so a line
+   in a third of all documents costs one pair a document. Documents are ordered by id,
+   then by their text's hash. A holder of frequent keys is copied, and its pairs are
+   dealt over the copies.
+4. Keys with a line that still stands then meet further earlier holders, in hashed order
+   and batches that grow, until no such key has an earlier holder that it hasn't met. The
+   result is that of an alignment with every earlier document that shares a line.
+5. Patience diff aligns the two line sequences: lines that occur once in both, in
    longest increasing order, are anchors; matches grow from them and between them.
-4. Aligned common blocks (consecutive in both documents) of ``min_chars`` characters or
+6. Aligned common blocks (consecutive in both documents) of ``min_chars`` characters or
    more are deleted from the later document. A partner is skipped when earlier ones
    have already taken all lines that paired it.
 
@@ -38,6 +43,11 @@ class LineConfig:
     min_chars: int = 20
     #: Later holders of a line that meet one copy of its earliest holder.
     pairs_a_copy: int = 1024
+    #: Further holders of a standing key in the first batch, and growth of the batches.
+    batch: int = 4
+    growth: int = 8
+    #: Partners of a document that one row gathers.
+    partners_a_row: int = 256
 
 
 def matched_lines(a: list[int], b: list[int]) -> list[tuple[int, int]]:
@@ -108,12 +118,87 @@ def deletions(lines: list[int], sizes: list[int], partners: list[tuple[list[int]
     return gone
 
 
+_PRIME, _BASE = (1 << 61) - 1, 1_000_003_579
+
+
+def runs(lines: list[int], sizes: list[int], min_chars: int) -> dict[int, list[tuple[int, int]]]:
+    """Ranges of the shortest runs of ``min_chars`` characters from and up to each line, by the run's hash; blank lines add none."""
+    n, need = len(lines), max(1, min_chars)
+    total, code, power = [0], [0], [1]
+    for h, size in zip(lines, sizes, strict=True):
+        total.append(total[-1] + (size if h else 0))
+        code.append((code[-1] * _BASE + h) % _PRIME)
+        power.append(power[-1] * _BASE % _PRIME)
+    found = set()
+    hi = 0
+    for lo in range(n):
+        while hi < n and total[hi] - total[lo] < need:
+            hi += 1
+        if total[hi] - total[lo] >= need:
+            found.add((lo, hi))
+    lo = n
+    for hi in range(n, 0, -1):
+        while lo > 0 and total[hi] - total[lo] < need:
+            lo -= 1
+        if total[hi] - total[lo] >= need:
+            found.add((lo, hi))
+    out: dict[int, list[tuple[int, int]]] = {}
+    for lo, hi in sorted(found):
+        key = lines[lo] if hi == lo + 1 else hash((hi - lo, (code[hi] - code[lo] * power[hi - lo]) % _PRIME))
+        out.setdefault(key, []).append((lo, hi))
+    return out
+
+
+def keys(lines: list[int], sizes: list[int], min_chars: int) -> list[tuple[int, list[tuple[int, int]], bool]]:
+    """Key, ranges that it covers, and whether it asks for partners.
+
+    Blanks of a block may differ between documents and count by the later one's size. So
+    where they have characters, every line asks for all its holders, of which those with a
+    blank line have keys of their short lines too.
+    """
+    found = runs(lines, sizes, min_chars)
+    out = [(k, cover, True) for k, cover in found.items()]
+    if 0 in lines:
+        asks = any(size and not h for h, size in zip(lines, sizes, strict=True))
+        out += [(h, [(0, len(lines))], asks) for h in sorted({h for h in lines if h and h not in found})]
+        if asks:
+            out = [(k, [(0, len(lines))], True) for k, _, _ in out]
+    return out
+
+
+def _keys(min_chars: int):
+    cover_type = pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32())]))
+
+    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+        at, key, ends, lo, hi, asks = [], [], [0], [], [], []
+        for i, (lines, sizes) in enumerate(zip(batch.column("lines").to_pylist(), batch.column("sizes").to_pylist(), strict=True)):
+            for k, cover, ask in keys(lines, sizes, min_chars):
+                at.append(i)
+                key.append(k)
+                asks.append(ask)
+                for a, b in cover:
+                    lo.append(a)
+                    hi.append(b)
+                ends.append(len(lo))
+        ranges = pa.StructArray.from_arrays([pa.array(lo, pa.int32()), pa.array(hi, pa.int32())], ["lo", "hi"])
+        cover = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), ranges).cast(cover_type)
+        return pa.RecordBatch.from_arrays([batch.column("doc").take(pa.array(at, pa.int64())), pa.array(key, pa.int64()), cover, pa.array(asks, pa.bool_())], ["doc", "h", "cover", "ask"])
+
+    def run(batches):
+        for b in batches:
+            for lo in range(0, b.num_rows, 500):
+                yield work(b.slice(lo, 500))
+
+    return run
+
+
 def _align(min_chars: int):
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         out = []
         for lines, sizes, partners in zip(*[batch.column(c).to_pylist() for c in ("lines", "sizes", "partners")], strict=True):
             ranked = sorted(partners, key=lambda p: (p["rarity"], p["first"]["id"], p["first"]["th"]))
-            out.append(deletions(lines, sizes, [(p["shared"], p["earlier"]) for p in ranked], min_chars))
+            shared = [({h for lo, hi in {(r["lo"], r["hi"]) for r in p["cover"]} for h in lines[lo:hi]}, p["earlier"]) for p in ranked]
+            out.append(deletions(lines, sizes, shared, min_chars))
         return pa.RecordBatch.from_arrays([batch.column("doc"), pa.array(out, pa.list_(pa.bool_()))], ["doc", "gone"])
 
     def run(batches):
@@ -124,25 +209,51 @@ def _align(min_chars: int):
     return run
 
 
+def _paired(asks: DataFrame) -> DataFrame:
+    """One row for each document and partner."""
+    return asks.groupBy("doc", "first").agg(F.min("c").alias("rarity"), F.flatten(F.collect_list("cover")).alias("cover"))
+
+
 def remove_shared_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text", config: LineConfig = LineConfig()) -> DataFrame:
     """``row`` (the input's columns), ``kept`` (the remaining text), ``n_lines`` and ``n_dropped`` of each input row."""
     body = F.col(f"`{text}`")
     doc = F.struct(F.col(f"`{id_col}`").alias("id"), F.xxhash64(body).alias("th"))
+    kind = docs.schema[id_col].dataType.simpleString()
+    key_type = f"struct<id:{kind},th:bigint>"
     lines = F.split(body, "\n", -1)
     hashed = docs.filter(F.col(f"`{id_col}`").isNotNull() & body.isNotNull()).select(doc.alias("doc"), lines.alias("all"))
     seq = hashed.select("doc", F.transform("all", lambda x: F.when(F.trim(x) == "", F.lit(0).cast("long")).otherwise(F.xxhash64(x))).alias("lines"), F.transform("all", lambda x: F.length(x)).alias("sizes"))
     seq = save(seq, "op5-lines")
-    held = seq.select("doc", F.explode(F.array_distinct("lines")).alias("h")).filter("h <> 0")
-    first = save(held.groupBy("h").agg(F.min("doc").alias("first"), F.count(F.lit(1)).alias("c")).filter("c > 1"), "op5-shared")
-    pairs = held.join(first, "h").filter("doc > first").groupBy("doc", "first").agg(F.min("c").alias("rarity"), F.collect_set("h").alias("shared"))
+    held = save(seq.mapInArrow(_keys(config.min_chars), f"doc {key_type}, h bigint, cover array<struct<lo:int,hi:int>>, ask boolean"), "op5-keys")
+    first = held.groupBy("h").agg(F.min("doc").alias("first"), F.count(F.lit(1)).alias("c"), F.max("ask").alias("asked")).filter("c > 1 AND asked").drop("asked")
+    first = save(first, "op5-shared")
+    asks = save(held.filter("ask").drop("ask").join(first, "h").filter("doc > first"), "op5-asks")
     one = seq.dropDuplicates(["doc"])
     copies = lambda c: F.ceil(F.col(c) / config.pairs_a_copy)
     firsts = first.groupBy("first").agg(F.max("c").alias("most")).select("first", F.explode(F.sequence(F.lit(0).cast("long"), copies("most") - 1)).alias("copy"))
-    earlier = firsts.join(one.select(F.col("doc").alias("first"), F.col("lines").alias("earlier")), "first")
-    partners = pairs.withColumn("copy", F.pmod(F.xxhash64("doc"), copies("rarity"))).join(earlier, ["first", "copy"]).drop("copy")
-    partners = partners.groupBy("doc").agg(F.collect_list(F.struct("rarity", "first", "shared", "earlier")).alias("partners"))
-    kind = docs.schema[id_col].dataType.simpleString()
-    gone = save(one.join(partners, "doc").mapInArrow(_align(config.min_chars), f"doc struct<id:{kind},th:bigint>, gone array<boolean>"), "op5-gone")
+    lines_of = one.select(F.col("doc").alias("first"), F.col("lines").alias("earlier"))
+    partners = _paired(asks).withColumn("copy", F.pmod(F.xxhash64("doc"), copies("rarity"))).join(firsts.join(lines_of, "first"), ["first", "copy"]).drop("copy")
+
+    def aligned(partners: DataFrame, *by: str) -> DataFrame:
+        lists = partners.groupBy("doc", *by).agg(F.collect_list(F.struct("rarity", "first", "cover", "earlier")).alias("partners")).drop(*by)
+        return one.join(lists, "doc").mapInArrow(_align(config.min_chars), f"doc {key_type}, gone array<boolean>")
+
+    either = lambda a, b: F.zip_with(a, b, lambda x, y: x | y)
+    stands = F.exists("cover", lambda r: F.exists(F.slice("gone", r["lo"] + 1, r["hi"] - r["lo"]), lambda g: ~g))
+    gone = save(aligned(partners), "op5-gone")
+    left, low, high = asks.filter("c > 2"), 0, config.batch
+    while True:
+        left = save(left.join(gone, "doc").filter(stands).drop("gone"), "op5-left")
+        if left.isEmpty():
+            break
+        place = F.pmod(F.xxhash64("other"), F.lit(1 << 30)) * F.col("c") / float(1 << 30)
+        met = left.join(held.select("h", F.col("doc").alias("other")), "h").filter((F.col("other") < F.col("doc")) & (F.col("other") != F.col("first")) & (place >= low) & (place < high))
+        met = _paired(met.drop("first").withColumnRenamed("other", "first")).withColumn("slot", F.pmod(F.xxhash64("first"), F.lit(-(-high // config.partners_a_row))))
+        more = aligned(met.join(lines_of, "first"), "slot").groupBy("doc").agg(F.collect_list("gone").alias("lists"))
+        more = more.select("doc", F.aggregate(F.slice("lists", 2, F.size("lists")), F.col("lists")[0], either).alias("more"))
+        gone = save(gone.join(more, "doc", "left").select("doc", F.when(F.col("more").isNull(), F.col("gone")).otherwise(either("gone", "more")).alias("gone")), "op5-gone")
+        low, high = high, high * config.growth
+        left = left.filter(F.col("c") > low)
     gone = gone.filter(F.exists("gone", lambda g: g)).select(F.col("doc.id").alias("_id"), F.col("doc.th").alias("_th"), "gone")
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
     both = docs.select(row, F.col(f"`{id_col}`").alias("_id"), F.xxhash64(body).alias("_th")).join(gone, ["_id", "_th"], "left")
