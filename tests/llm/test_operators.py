@@ -213,6 +213,22 @@ def test_patience_blocks():
         assert all(x < u and y < v for (x, y), (u, v) in zip(pairs, pairs[1:]))
 
 
+def test_repeated_passages_align():
+    assert line_dedup.longest_run([1, 2, 3, 1, 2, 4], [9, 1, 2, 4, 1, 2]) == (3, 1, 3)
+    assert line_dedup.longest_run([1], [2]) == (0, 0, 0)
+    # The earlier document holds the passage 5 6 twice, or the later one does.
+    assert line_dedup.common_blocks([1, 5, 6, 2, 5, 6, 3], [7, 5, 6, 8]) == [(1, 3)]
+    assert line_dedup.common_blocks([7, 5, 6, 8], [1, 5, 6, 2, 5, 6, 3]) == [(1, 3)]
+    rng = random.Random(4)
+    for _ in range(500):
+        a, b = ([rng.randrange(4) for _ in range(rng.randrange(9))] for _ in range(2))
+        x, y, n = line_dedup.longest_run(a, b)
+        every = [b[j : j + k] for j in range(len(b)) for k in range(1, len(b) - j + 1) if any(a[i : i + k] == b[j : j + k] for i in range(len(a)))]
+        assert a[x : x + n] == b[y : y + n]
+        assert (sum(map(bool, b[y : y + n])), n) == max(((sum(map(bool, r)), len(r)) for r in every), default=(0, 0))
+        assert bool(line_dedup.matched_lines(a, b)) == bool(set(a) & set(b))
+
+
 def test_packing_is_exact_and_tight(spark, docs):
     import public_tokenizers
     from tokenizers import Tokenizer

@@ -12,7 +12,9 @@
    and batches that grow, until no such key has an earlier holder that it hasn't met. The
    result is that of an alignment with every earlier document that shares a line.
 5. Patience diff aligns the two line sequences: lines that occur once in both, in
-   longest increasing order, are anchors; matches grow from them and between them.
+   longest increasing order, are anchors; matches grow from them and between them. A gap
+   without such a line has its longest common run of lines (most lines that aren't blank)
+   as anchor, so repeated passages align too.
 6. Aligned common blocks (consecutive in both documents) of ``min_chars`` characters or
    more are deleted from the later document. A partner is skipped when earlier ones
    have already taken all lines that paired it.
@@ -50,8 +52,50 @@ class LineConfig:
     partners_a_row: int = 256
 
 
+def longest_run(a: list[int], b: list[int]) -> tuple[int, int, int]:
+    """Start in ``a``, start in ``b`` and length of the common run with most lines that aren't blank; a suffix automaton of ``a`` reads ``b``."""
+    follow: list[dict[int, int]] = [{}]
+    link, size, end = [-1], [0], [0]
+    last = 0
+    for i, h in enumerate(a):
+        new, p = len(follow), last
+        follow.append({})
+        size.append(i + 1)
+        end.append(i + 1)
+        link.append(0)
+        while p >= 0 and h not in follow[p]:
+            follow[p][h] = new
+            p = link[p]
+        if p >= 0:
+            q = follow[p][h]
+            if size[q] > size[p] + 1:
+                twin = len(follow)
+                follow.append(dict(follow[q]))
+                size.append(size[p] + 1)
+                end.append(end[q])
+                link.append(link[q])
+                while p >= 0 and follow[p].get(h) == q:
+                    follow[p][h] = twin
+                    p = link[p]
+                link[q] = q = twin
+            link[new] = q
+        last = new
+    filled = [0]
+    best, found, state, n = (0, 0), (0, 0, 0), 0, 0
+    for j, h in enumerate(b, 1):
+        filled.append(filled[-1] + (h != 0))
+        while state and h not in follow[state]:
+            state = link[state]
+            n = size[state]
+        if h in follow[state]:
+            state, n = follow[state][h], n + 1
+        if (filled[j] - filled[j - n], n) > best:
+            best, found = (filled[j] - filled[j - n], n), (end[state] - n, j - n, n)
+    return found
+
+
 def matched_lines(a: list[int], b: list[int]) -> list[tuple[int, int]]:
-    """Pairs of positions that patience diff aligns."""
+    """Pairs of positions that patience diff aligns, or the longest common run where no line is unique."""
     out = []
     todo = [(0, len(a), 0, len(b))]
     while todo:
@@ -79,6 +123,11 @@ def matched_lines(a: list[int], b: list[int]) -> list[tuple[int, int]]:
             chain.append(common[k])
             k = back[k]
         if not chain:
+            x, y, size = longest_run(a[i:m], b[j:n])
+            if size:
+                x, y = x + i, y + j
+                out.extend((x + k, y + k) for k in range(size))
+                todo += [(i, x, j, y), (x + size, m, y + size, n)]
             continue
         x0, y0 = i, j
         for x, y in [*chain[::-1], (m, n)]:
