@@ -8,7 +8,8 @@ the folder of the tables. All but the last return the columns of ``documents``:
 - ``line_dedup`` deletes aligned blocks of lines that earlier documents hold, and drops
   documents that lose all their lines. ``n_chars`` follows the text.
 - ``near_dedup`` keeps the document with the smallest id of each group.
-- ``decontaminate`` drops documents that hold a window of a benchmark item.
+- ``decontaminate`` drops documents that hold a window of a benchmark item, also those
+  with a null id, each by its text.
 - ``pack`` returns the pieces with their places in sequences.
 
 Rows with a null id pass the stages that compare documents. Rows that share an id share
@@ -53,9 +54,10 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    leaks = find_leaks(docs.select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
-    leaks = leaks.filter("n_hit > 0").select(F.col("row.doc_id").alias("doc_id")).distinct()
-    return docs.join(leaks, "doc_id", "left_anti").select(docs.columns)
+    th = F.when(F.col("doc_id").isNull(), F.xxhash64("text"))
+    leaks = find_leaks(docs.select("doc_id", "text", th.alias("th")), table(spark, sf_dir, "benchmark"))
+    leaks = leaks.filter("n_hit > 0").select(F.col("row.doc_id").alias("_id"), F.col("row.th").alias("_th")).distinct()
+    return docs.join(leaks, F.col("doc_id").eqNullSafe(F.col("_id")) & th.eqNullSafe(F.col("_th")), "left_anti").select(docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -120,6 +120,13 @@ def test_leaks(spark, docs, items):
         assert all(v == (0, []) for v in got.values())
 
 
+def test_leaks_of_rows_without_id(spark):
+    rows = [(None, ROWS[0][1]), (None, "clean"), (1, ROWS[0][1]), (None, None)]
+    out = find_leaks(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(ITEMS, "item_id long, text string"))
+    got = [(r["doc_id"], r["n_words"], r["n_hit"], r["items"]) for r in out.select("row.doc_id", "n_words", "n_hit", "items").collect()]
+    assert len(got) == 4 and [g for g in got if g[2]] == [g for g in got if g[1] > 1] and all(g[2:] == (10, ["1"]) for g in got if g[1] > 1)
+
+
 def test_toxicity(spark, docs):
     labels = spark.createDataFrame([(1, 1), (5, 0), (6, 0), (2, 0), (None, 1), (9, None)], "doc_id long, toxic int")
     out = find_toxic(docs, train_toxicity(docs, labels))

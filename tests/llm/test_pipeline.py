@@ -84,3 +84,11 @@ def test_empty(spark):
     for name, stage in pipeline.STAGES:
         docs = save(stage(spark, docs, MIDDLE), f"empty-{name}")
     assert docs.count() == 0
+
+
+def test_leaks_without_id_are_dropped(spark):
+    leak = spark.read.parquet(f"{MIDDLE}/benchmark.parquet").first()["text"]
+    rows = [(None, leak), (None, "clean"), (None, None), (1, leak), (2, "clean")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    out = dict(pipeline.STAGES)["decontaminate"](spark, docs, MIDDLE).collect()
+    assert sorted((r["doc_id"] or 0, r["text"] or "") for r in out) == [(0, ""), (0, "clean"), (2, "clean")]

@@ -17,7 +17,7 @@ word and window.
 
 A null text has no words and is clean; an item without words has no window. Repeated
 items count as one by their id; equal windows of several items count for each. Rows equal
-in id and text get the same answer. Empty tables give clean texts or an empty result.
+in id and text get the same answer, also where the id is null. Empty tables give clean texts or an empty result.
 """
 
 from __future__ import annotations
@@ -68,13 +68,16 @@ def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text:
     met = spread.join(prefix, "word").select("_id", "_th", (F.col("pos") - F.col("at")).alias("start"), "w").filter("start >= 0")
     candidates = save(met.groupBy("_id", "_th").agg(F.collect_set(F.struct("start", "w")).alias("met")), "op7-candidates")
     others = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text]).alias("row")
-    joined = docs.select(others, *key, words(body).alias("_words")).join(candidates, ["_id", "_th"], "left")
+    same = lambda a, b: a["_id"].eqNullSafe(b["_id"]) & a["_th"].eqNullSafe(b["_th"])
+    texts = docs.select(others, *key, words(body).alias("_words"))
+    joined = texts.join(candidates, same(texts, candidates), "left").select("row", texts["_id"], texts["_th"], "_words", "met")
     sure = F.filter("met", lambda m: F.slice("_words", m["start"] + 1, F.size(m["w"])) == m["w"])
     checked = save(joined.select("row", "_id", "_th", F.size("_words").cast("long").alias("n_words"), sure.alias("hits")), "op7-checked")
     reach = F.flatten(F.transform("hits", lambda m: F.sequence(m["start"], m["start"] + F.size(m["w"]) - 1)))
     hit = F.coalesce(F.size(F.array_distinct(reach)), F.lit(0))
     by_item = checked.filter(F.size("hits") > 0).select("_id", "_th", F.explode("hits.w").alias("w")).distinct().join(found, "w").groupBy("_id", "_th").agg(F.sort_array(F.collect_set(F.col("item").cast("string"))).alias("items"))
-    out = checked.join(by_item, ["_id", "_th"], "left")
+    by_item = by_item.select(F.col("_id").alias("_item_id"), F.col("_th").alias("_item_th"), "items")
+    out = checked.join(by_item, F.col("_id").eqNullSafe(F.col("_item_id")) & F.col("_th").eqNullSafe(F.col("_item_th")), "left")
     none = F.array().cast("array<string>")
     return out.select("row", "n_words", F.greatest(hit, F.lit(0)).cast("long").alias("n_hit"), F.coalesce("hits", F.array().cast(checked.schema["hits"].dataType)).alias("hits"), F.coalesce("items", none).alias("items"))
 
