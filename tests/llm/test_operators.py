@@ -390,6 +390,21 @@ def test_a_text_held_by_most_rows_is_split_evenly(spark):
     assert len(sizes) == 16 and max(sizes) - min(sizes) < 0.05 * sum(sizes) / 16
 
 
+@pytest.mark.parametrize("hot", [0, 3])
+def test_equal_texts_stay_together_on_skewed_data(spark, hot):
+    n = 12_000
+    text = F.format_string("%08d", (F.col("id") / 2).cast("long"))
+    df = spark.range(n).select(F.col("id").alias("doc_id"), (F.when(F.col("id") < n // hot, "the same").otherwise(text) if hot else text).alias("text"))
+    rows = sharding.shard(df).join(df.withColumnRenamed("doc_id", "id"), "id").collect()
+    homes, sizes = defaultdict(set), Counter()
+    for r in rows:
+        homes[r["text"]].add(r["shard"])
+        sizes[r["shard"]] += r["size"]
+    assert len(rows) == n and [t for t, h in homes.items() if len(h) > 1] == (["the same"] if hot else [])
+    mean = sum(sizes.values()) / 16
+    assert len(sizes) == 16 and max(abs(b - mean) for b in sizes.values()) < 0.02 * mean
+
+
 def test_windows_of_long_texts():
     net = language_id.ByteConvNet(["a", "b"], language_id.ConvConfig(window=32))
     x, owner, weight = net.windows([b"x" * 100, b"", b"y" * 31])

@@ -10,10 +10,14 @@ a document's size being its text's UTF-8 bytes plus 1, with few links between sh
    shard with the most. A shard admits movers, in hashed order, up to its quota: an even
    share less what it holds. Rounds end when nobody can move. Loads by shard, and by
    shard and hash bucket, are all that comes to the driver: at most 16 and 16 * 1024 rows.
-3. Unlinked documents, and cells beyond an even share, fill the shards: put in hashed
-   order, they are cut where the shards' remaining shares end. So each shard's size is
-   within one document of an even share.
-4. Slots are counted by shard and hash bucket, then within it, so no task holds a shard.
+3. Texts whose cells are still in several shards, or beyond an even share, are placed
+   whole: the few large ones each in the shard with most room, the others in hashed order
+   up to where the shards' remaining shares end. Only a text that fits in no shard stays
+   split. A text placed last in a shard may exceed its share, by 1/``large`` of it at most.
+4. Unlinked documents, and cells of texts that stay split beyond an even share, fill the
+   shards: put in hashed order, they are cut where the shards' remaining shares end. So
+   each shard's size is within one document of an even share if these suffice.
+5. Slots are counted by shard and hash bucket, then within it, so no task holds a shard.
 
 A null text counts as empty. Rows with equal or null ids are kept, each with its slot.
 An empty table gives an empty result.
@@ -38,6 +42,8 @@ class ShardConfig:
     parts: int = 64
     rounds: int = 8
     buckets: int = 1024
+    #: A text over this part of an even share is placed on the driver: at most shards * large of them.
+    large: int = 64
     rows_per_bucket: int = 2000
     most_buckets: int = 65536
 
@@ -77,6 +83,56 @@ def propagate(cells: DataFrame, share: int, config: ShardConfig) -> DataFrame:
     return save(cells, "op10-cells")
 
 
+def _before(df: DataFrame, size: str, *order: str) -> DataFrame:
+    """Add ``at``: the sum of ``size`` over the rows before, by bucket and then in order."""
+    sums = df.groupBy("bucket").agg(F.sum(size).alias("b"))
+    base = sums.select("bucket", (F.sum("b").over(Window.orderBy("bucket")) - F.col("b")).alias("base"))
+    before = F.coalesce(F.sum(size).over(Window.partitionBy("bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return df.withColumn("before", before).join(F.broadcast(base), "bucket").withColumn("at", F.col("base") + F.col("before")).drop("base", "before")
+
+
+def _shard_at(room: list[int]) -> Column:
+    """The shard in whose room ``at`` falls."""
+    return F.least(sum((F.when(F.col("at") >= F.lit(e), 1).otherwise(0) for e in accumulate(room)), F.lit(0)), F.lit(len(room) - 1))
+
+
+def gather(cells: DataFrame, share: int, config: ShardConfig) -> tuple[DataFrame, list[int]]:
+    """Cells (group, part, label) with no text split that fits in a shard, and the shards' room; a null label is to be filled in."""
+    load = {(r["label"], r["bucket"]): r["b"] for r in cells.groupBy("label", "bucket").agg(F.sum("bytes").alias("b")).collect()}
+    stop = _within(load, [share] * config.shards)
+    cells = cells.withColumn("label", F.when(F.col("bucket") < _of(stop, "label"), F.col("label")))
+    per = cells.groupBy(*_GROUP).agg(F.sum("bytes").alias("b"), F.min("label").alias("lo"), F.max("label").alias("hi"), F.max(F.col("label").isNull()).alias("out"))
+    loose = save(per.filter("out OR lo <> hi").select(*_GROUP, "b"), "op10-loose")
+    held = cells.join(loose.select(*_GROUP, "b"), _GROUP, "left").groupBy("label").agg(F.sum(F.when(F.col("b").isNull(), F.col("bytes"))).alias("whole")).filter("label IS NOT NULL").collect()
+    room = [share - {r["label"]: r["whole"] or 0 for r in held}.get(s, 0) for s in range(config.shards)]
+    big = sorted(loose.filter(F.col("b") * config.large > share).collect(), key=lambda r: (-r["b"], *[r[c] for c in _GROUP]))
+    own, torn = [], []
+    for r in big:
+        s = max(range(config.shards), key=lambda s: room[s])
+        if r["b"] <= room[s]:
+            room[s] -= r["b"]
+            own.append((*[r[c] for c in _GROUP], s))
+        else:
+            torn.append(tuple(r[c] for c in _GROUP))
+    spark, kinds = cells.sparkSession, "g1 long, g2 int, size long"
+    small = loose.filter(F.col("b") * config.large <= share)
+    count = max(1, min(config.most_buckets, -(-small.count() // config.rows_per_bucket)))
+    small = _before(small.withColumn("bucket", _bucket(count, *_GROUP)), "b", *_GROUP).withColumn("home", _shard_at([max(0, x) for x in room]))
+    small = save(small.select(*_GROUP, "b", F.col("home").cast("int").alias("home")), "op10-small")
+    for r in small.groupBy("home").agg(F.sum("b").alias("b")).collect():
+        room[r["home"]] -= r["b"]
+    homes = small.drop("b").unionByName(spark.createDataFrame(own, f"{kinds}, home int")).withColumn("torn", F.lit(False))
+    homes = homes.unionByName(spark.createDataFrame([(*t, None, True) for t in torn], f"{kinds}, home int, torn boolean"))
+    cells = save(cells.join(homes, _GROUP, "left").withColumn("label", F.coalesce("home", "label")), "op10-gathered")
+    if torn:
+        load = {(r["label"], r["bucket"]): r["b"] for r in cells.filter("torn AND label IS NOT NULL").groupBy("label", "bucket").agg(F.sum("bytes").alias("b")).collect()}
+        stop = _within(load, [max(0, x) for x in room])
+        for (t, k), v in load.items():
+            room[t] -= v if k < stop[t] else 0
+        cells = cells.withColumn("label", F.when(F.coalesce("torn", F.lit(False)) & (F.col("bucket") >= _of(stop, "label")), F.lit(None)).otherwise(F.col("label")))
+    return cells.select(*_GROUP, "part", "label"), [max(0, x) for x in room]
+
+
 def shard(docs: DataFrame, id_col: str = "doc_id", text: str = "text", config: ShardConfig = ShardConfig()) -> DataFrame:
     """``id``, ``size``, ``text_crc32``, ``shard`` and ``slot`` of each input row."""
     body = F.coalesce(F.col(f"`{text}`"), F.lit("")).cast("binary")
@@ -88,22 +144,13 @@ def shard(docs: DataFrame, id_col: str = "doc_id", text: str = "text", config: S
     linked = rows.groupBy(*_GROUP).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(*_GROUP)
     cells = cells.join(linked, _GROUP).select(*_GROUP, "part", "bytes", _bucket(config.shards, *_GROUP, "part").alias("label"), _bucket(config.buckets, "part", *_GROUP).alias("bucket"))
     cells = propagate(save(cells, "op10-start"), share, config)
-    load = {(r["label"], r["bucket"]): r["b"] for r in cells.groupBy("label", "bucket").agg(F.sum("bytes").alias("b")).collect()}
-    stop = _within(load, [share] * config.shards)
-    kept = [sum(v for (t, b), v in load.items() if t == s and b < stop[s]) for s in range(config.shards)]
-    ends = list(accumulate(share - k for k in kept))
-    cells = cells.select(*_GROUP, "part", F.when(F.col("bucket") < _of(stop, "label"), F.col("label")).alias("label"))
+    cells, room = gather(cells, share, config)
     buckets = max(1, min(config.most_buckets, -(-n // config.rows_per_bucket)))
     known = save(rows.join(cells, [*_GROUP, "part"], "left").select("id", "size", "text_crc32", "g1", "label", _bucket(buckets, "id", "g1").alias("bucket")), "op10-known")
     fill = known.filter("label IS NULL")
-    sums = fill.groupBy("bucket").agg(F.sum("size").alias("b"))
-    base = sums.select("bucket", (F.sum("b").over(Window.orderBy("bucket")) - F.col("b")).alias("base"))
-    order = Window.partitionBy("bucket").orderBy("g1", "id").rowsBetween(Window.unboundedPreceding, -1)
-    placed = fill.withColumn("before", F.coalesce(F.sum("size").over(order), F.lit(0))).join(F.broadcast(base), "bucket")
-    at = F.col("base") + F.col("before")
-    cut = F.least(sum((F.when(at >= F.lit(e), 1).otherwise(0) for e in ends), F.lit(0)), F.lit(config.shards - 1))
+    placed = _before(fill, "size", "g1", "id").withColumn("shard", _shard_at(room))
     cols = ["id", "size", "text_crc32", "bucket"]
-    final = known.filter("label IS NOT NULL").select(*cols, F.col("label").alias("shard")).unionByName(placed.select(*cols, cut.alias("shard")))
+    final = known.filter("label IS NOT NULL").select(*cols, F.col("label").alias("shard")).unionByName(placed.select(*cols, "shard"))
     final = save(final, "op10-shards")
     counts = final.groupBy("shard", "bucket").agg(F.count(F.lit(1)).alias("c"))
     start = counts.select("shard", "bucket", (F.sum("c").over(Window.partitionBy("shard").orderBy("bucket")) - F.col("c")).alias("start"))
