@@ -2,28 +2,35 @@
 
 1. Items and texts are read as words. An item's windows are its runs of ``window``
    consecutive words; an item of fewer is one window.
-2. The items' words are counted over all texts. A text that holds all of a window must
-   hold any one word of it, so the prefix that has to be joined is a single word: the
-   window's rarest in the texts, at its first place in the window.
-3. Texts' words join the prefix words. The word's place and the window's length bound
-   where the window would start; starts that leave the text are dropped.
-4. Candidates are checked word by word against the text: containment is exact.
+2. The items' words are counted over all texts, and each window's words ordered by
+   rarity. A text that holds all of a window holds any of its words, so the prefix that
+   has to be joined is a window's rarest word; its second rarest, at a fixed distance, is
+   the first bound. A window with a word that no text has can't occur.
+3. Texts' words join the prefix words where they are read. The word's place says where the
+   window would start. Starts and ends outside the text (positional and length bound)
+   and places without the second word are dropped.
+4. What is left is compared word by word with the text: containment is exact. All this
+   happens in the task that reads the text, so only verified occurrences are shuffled.
 5. A text's hit words are the union of its verified windows.
 
-The tables of items' words and of prefix words grow with the benchmark only; Spark
-broadcasts them when their written size is under its threshold and shuffles them
-otherwise. Candidates are gathered by text, of which they hold at most one for each
-word and window.
+The tables of items' words and of prefix words grow with the benchmark only. They are
+broadcast in blocks of about ``block_bytes``, each with a pass over the texts, so a
+benchmark of any size fits in memory. Occurrences are gathered by text, of which they are
+at most one for each word and window length.
 
 A null text has no words and is clean; an item without words has no window. Repeated
-items count as one by their id; equal windows of several items count for each. Rows equal
-in id and text get the same answer, also where the id is null. Empty tables give clean texts or an empty result.
+items count as one by their id; equal windows of several items count for each. An item
+without an id hits words and is in no list of ids. Rows equal in id and text get the same
+answer, also where the id is null; rows are told apart by id and 64 hashed bits of
+the text. Ids may have any type. Extra columns are carried in ``row``, so none clashes.
+Very long texts cost in proportion. Empty tables give clean texts or an empty result.
 """
 
 from __future__ import annotations
 
 import string
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,12 +43,14 @@ _GAPS = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
 @dataclass(frozen=True)
 class LeakConfig:
     window: int = 10
+    #: Bytes of words in a block that is broadcast.
+    block_bytes: int = 16_000_000
 
 
 def words(text: Column) -> Column:
     """Words of a text with A-Z lower-cased; lower() does that where all letters are ASCII."""
     low = F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, string.ascii_uppercase, string.ascii_lowercase))
-    return F.filter(F.split(F.coalesce(low, F.lit("")), _GAPS), lambda w: w != "")
+    return F.array_remove(F.split(F.coalesce(low, F.lit("")), _GAPS), "")
 
 
 def windows(items: DataFrame, id_col: str, text: str, size: int) -> DataFrame:
@@ -51,35 +60,62 @@ def windows(items: DataFrame, id_col: str, text: str, size: int) -> DataFrame:
     return got.select("item", F.explode(every).alias("w")).distinct().withColumn("n", F.size("w"))
 
 
-def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", config: LeakConfig = LeakConfig()) -> DataFrame:
-    """``row`` (the other columns), ``n_words``, ``n_hit``, ``hits`` (start and window of each occurrence) and ``items`` (sorted ids as text) of each input row."""
+def _blocks(small: DataFrame, size: Column, most: int) -> list[DataFrame]:
+    """Parts of a table of about ``most`` bytes each, to be broadcast one at a time."""
+    total = small.agg(F.sum(size)).first()[0] or 0
+    n = -(-total // most)
+    if n <= 1:
+        return [F.broadcast(small)]
+    return [F.broadcast(small.filter(F.pmod(F.xxhash64(*small.columns), F.lit(n)) == i)) for i in range(n)]
+
+
+def occurrences(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text: str = "text", config: LeakConfig = LeakConfig()) -> DataFrame:
+    """``_id``, ``_th``, ``start`` and ``w`` of each place in each row where a window of ``found`` occurs."""
     body = F.col(f"`{text}`")
-    key = [F.col(f"`{id_col}`").alias("_id"), F.xxhash64(body).alias("_th")]
-    found = save(windows(items, item_id, item_text, config.window), "op7-windows")
     unique = found.select("w", "n").distinct()
     vocabulary = save(unique.select(F.explode("w").alias("word")).distinct(), "op7-words")
-    spread = docs.select(*key, F.posexplode(words(body)).alias("pos", "word"))
-    counted = spread.select("word").join(vocabulary, "word", "left_semi").groupBy("word").agg(F.count(F.lit(1)).alias("c"))
-    counts = save(counted, "op7-counts")
+    read = docs.select(F.col(f"`{id_col}`").alias("_id"), F.xxhash64(body).alias("_th"), words(body).alias("_words"))
+    # The outer form adds no filter that would split the text a second time.
+    spread = read.select("_id", "_th", "_words", F.posexplode_outer("_words").alias("pos", "word"))
+    met = [spread.select("word").join(v, "word", "left_semi") for v in _blocks(vocabulary, F.octet_length("word") + 8, config.block_bytes)]
+    counts = save(reduce(DataFrame.unionAll, met).groupBy("word").agg(F.count(F.lit(1)).alias("c")), "op7-counts")
     ranked = unique.select("w", "n", F.posexplode("w").alias("at", "word")).join(counts, "word")
-    absent = unique.select("w", F.explode("w").alias("word")).join(counts, "word", "left_anti").select("w").distinct()
-    prefix = ranked.join(absent, "w", "left_anti").groupBy("w", "n").agg(F.min(F.struct("c", "word", "at")).alias("p"))
-    prefix = save(prefix.select("w", "n", F.col("p.word").alias("word"), F.col("p.at").alias("at")), "op7-prefix")
-    met = spread.join(prefix, "word").select("_id", "_th", (F.col("pos") - F.col("at")).alias("start"), "w").filter("start >= 0")
-    candidates = save(met.groupBy("_id", "_th").agg(F.collect_set(F.struct("start", "w")).alias("met")), "op7-candidates")
-    others = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text]).alias("row")
-    same = lambda a, b: a["_id"].eqNullSafe(b["_id"]) & a["_th"].eqNullSafe(b["_th"])
-    texts = docs.select(others, *key, words(body).alias("_words"))
-    joined = texts.join(candidates, same(texts, candidates), "left").select("row", texts["_id"], texts["_th"], "_words", "met")
-    sure = F.filter("met", lambda m: F.slice("_words", m["start"] + 1, F.size(m["w"])) == m["w"])
-    checked = save(joined.select("row", "_id", "_th", F.size("_words").cast("long").alias("n_words"), sure.alias("hits")), "op7-checked")
+    order = F.sort_array(F.collect_list(F.struct("c", "word", "at")))
+    prefix = ranked.groupBy("w", "n").agg(order.alias("p")).filter(F.size("p") == F.col("n"))
+    first, second = F.col("p")[0], F.get("p", F.least(F.lit(1), F.col("n") - 1))
+    prefix = save(prefix.select("w", "n", first["word"].alias("word"), first["at"].alias("at"), second["word"].alias("word2"), second["at"].alias("at2")), "op7-prefix")
+    start = F.col("pos") - F.col("at")
+    bound = (start >= 0) & (start + F.col("n") <= F.size("_words")) & (F.get("_words", start + F.col("at2")) == F.col("word2"))
+    same = F.slice("_words", F.greatest(start, F.lit(0)) + 1, F.col("n")) == F.col("w")
+    size = F.octet_length(F.array_join("w", " ")) + F.octet_length("word") + F.octet_length("word2") + 16
+    return reduce(DataFrame.unionAll, [spread.join(p, "word").filter(bound & same).select("_id", "_th", start.alias("start"), "w") for p in _blocks(prefix, size, config.block_bytes)])
+
+
+def _same(a: DataFrame, b: DataFrame) -> Column:
+    return a["_id"].eqNullSafe(b["_id"]) & a["_th"].eqNullSafe(b["_th"])
+
+
+def drop_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", config: LeakConfig = LeakConfig()) -> DataFrame:
+    """The rows whose text holds no window of any item."""
+    found = save(windows(items, item_id, item_text, config.window), "op7-windows")
+    leaks = save(occurrences(docs, found, id_col, text, config).select("_id", "_th").distinct(), "op7-leaks")
+    keyed = docs.withColumns({"_id": F.col(f"`{id_col}`"), "_th": F.xxhash64(F.col(f"`{text}`"))})
+    return keyed.join(leaks, _same(keyed, leaks), "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", config: LeakConfig = LeakConfig()) -> DataFrame:
+    """``row`` (the other columns), ``n_words``, ``n_hit``, ``hits`` (start and window of each occurrence) and ``items`` (sorted ids as text) of each input row."""
+    body = F.col(f"`{text}`")
+    found = save(windows(items, item_id, item_text, config.window), "op7-windows")
+    met = save(occurrences(docs, found, id_col, text, config), "op7-occurrences")
     reach = F.flatten(F.transform("hits", lambda m: F.sequence(m["start"], m["start"] + F.size(m["w"]) - 1)))
-    hit = F.coalesce(F.size(F.array_distinct(reach)), F.lit(0))
-    by_item = checked.filter(F.size("hits") > 0).select("_id", "_th", F.explode("hits.w").alias("w")).distinct().join(found, "w").groupBy("_id", "_th").agg(F.sort_array(F.collect_set(F.col("item").cast("string"))).alias("items"))
-    by_item = by_item.select(F.col("_id").alias("_item_id"), F.col("_th").alias("_item_th"), "items")
-    out = checked.join(by_item, F.col("_id").eqNullSafe(F.col("_item_id")) & F.col("_th").eqNullSafe(F.col("_item_th")), "left")
-    none = F.array().cast("array<string>")
-    return out.select("row", "n_words", F.greatest(hit, F.lit(0)).cast("long").alias("n_hit"), F.coalesce("hits", F.array().cast(checked.schema["hits"].dataType)).alias("hits"), F.coalesce("items", none).alias("items"))
+    hits = met.groupBy("_id", "_th").agg(F.collect_set(F.struct("start", "w")).alias("hits")).select("_id", "_th", "hits", F.size(F.array_distinct(reach)).cast("long").alias("hit"))
+    ids = met.select("_id", "_th", "w").distinct().join(found, "w").groupBy("_id", "_th").agg(F.sort_array(F.collect_set(F.col("item").cast("string"))).alias("items"))
+    per_text = save(hits.join(ids, _same(hits, ids)).select(hits["_id"], hits["_th"], "hits", "hit", "items"), "op7-texts")
+    others = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text]).alias("row")
+    rows = docs.select(others, F.col(f"`{id_col}`").alias("_id"), F.xxhash64(body).alias("_th"), F.size(words(body)).cast("long").alias("n_words"))
+    none = lambda c: F.array().cast(per_text.schema[c].dataType)
+    return rows.join(per_text, _same(rows, per_text), "left").select("row", "n_words", F.coalesce("hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("hits", none("hits")).alias("hits"), F.coalesce("items", none("items")).alias("items"))
 
 
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
