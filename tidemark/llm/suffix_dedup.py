@@ -19,15 +19,18 @@ the same text or another, is removed; matches never cross texts.
    whole window, where a key has one class. No window is lost on the way.
 5. Repeats of a class hold for all its runs; ranges go back to their texts.
 
-Classes are told apart by 128 hashed bits and the length.
+Classes are told apart by a cryptographic hash of the run's bytes (BLAKE2, 128 bits) and
+the length, so no two different runs stand for each other. Rolling hashes only choose
+keys: texts that they confuse meet in the sort and are compared there.
 
 A null text is empty; a text under ``length`` bytes stays whole. Repeated rows (equal
-ids too) count as separate texts. An empty table gives an empty result. Only the id
-and text columns are used.
+ids too) count as separate texts. Very long texts are walked whole. Extra columns are
+carried in ``row``, so none clashes. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -39,7 +42,6 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import batched, mix, save, table
 
 RUN = ["h", "r1", "r2", "n"]
-RUNS = "uid long, start int, h long, r1 long, r2 long, n int"
 
 
 @dataclass(frozen=True)
@@ -51,24 +53,24 @@ class SuffixConfig:
     batch_bytes: int = 500_000
 
 
-_BASES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03))
+_BASE = 0x9E3779B97F4A7C15
 
 
 class Rolling:
     """Hashes of any byte range, from prefix sums modulo 2**64; powers are kept between texts."""
 
-    powers: dict[np.uint64, tuple[np.ndarray, np.ndarray]] = {}
+    powers: tuple[np.ndarray, ...] = ()
 
-    def __init__(self, data: np.ndarray, base: np.uint64):
+    def __init__(self, data: np.ndarray):
         n = len(data) + 1
-        if base not in self.powers or len(self.powers[base][0]) < n:
+        if not self.powers or len(self.powers[0]) < n:
             both = []
-            for b in (int(base), pow(int(base), -1, 1 << 64)):
+            for b in (_BASE, pow(_BASE, -1, 1 << 64)):
                 each = np.full(max(n, 1 << 19), b, np.uint64)
                 each[0] = 1
                 both.append(np.cumprod(each))
-            self.powers[base] = (both[0], both[1])
-        power, self.inverse = self.powers[base]
+            Rolling.powers = tuple(both)
+        power, self.inverse = self.powers
         self.sums = np.zeros(n, np.uint64)
         values = data.astype(np.uint64)
         values += np.uint64(1)
@@ -94,12 +96,11 @@ def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
 
 
 def runs(data: np.ndarray, ends: np.ndarray, length: int, k: int) -> tuple[np.ndarray, ...]:
-    """Runs over texts that lie end to end: start in ``data``, number of windows, key, two hashes of the run's bytes."""
-    none = tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.int64, np.int64))
+    """Runs over texts that lie end to end: start in ``data``, number of windows, key."""
+    none = tuple(np.zeros(0, np.int64) for _ in range(3))
     if len(data) < length:
         return none
-    first = Rolling(data, _BASES[0])
-    grams = first.of(slice(0, len(data) - k + 1), slice(k, None))
+    grams = Rolling(data).of(slice(0, len(data) - k + 1), slice(k, None))
     low = sliding_min(grams, length - k + 1)
     begins = np.concatenate([[0], ends[:-1]])
     inside = np.zeros(len(low) + 1, np.int8)
@@ -114,22 +115,33 @@ def runs(data: np.ndarray, ends: np.ndarray, length: int, k: int) -> tuple[np.nd
     new[1:] = (key[1:] != key[:-1]) | (np.diff(starts) > 1) | (grams[starts[:-1]] == key[:-1])
     new |= np.isin(starts, begins)
     at = np.flatnonzero(new)
-    s, n = starts[at], np.diff(np.append(at, len(starts)))
-    second = Rolling(data, _BASES[1])
-    stop = s + n + length - 1
-    return s, n, key[at].view(np.int64), first.of(s, stop).view(np.int64), second.of(s, stop).view(np.int64)
+    return starts[at], np.diff(np.append(at, len(starts))), key[at].view(np.int64)
+
+
+def _key_work(length: int, k: int):
+    """The keys of all runs."""
+
+    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+        texts = [t or b"" for t in batch.column("raw").to_pylist()]
+        *_, h = runs(np.frombuffer(b"".join(texts), np.uint8), np.cumsum([len(t) for t in texts]), length, k)
+        return pa.RecordBatch.from_arrays([pa.array(h)], ["h"])
+
+    return batched(work, "raw", most=400_000)
 
 
 def _run_work(length: int, k: int):
+    """All runs with their text, start, key and hash."""
+
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts = [t or b"" for t in batch.column("raw").to_pylist()]
-        ends = np.cumsum([len(t) for t in texts])
-        s, n, h, r1, r2 = runs(np.frombuffer(b"".join(texts), np.uint8), ends, length, k)
+        ends, data = np.cumsum([len(t) for t in texts]), b"".join(texts)
+        s, n, h = runs(np.frombuffer(data, np.uint8), ends, length, k)
         owner = np.searchsorted(ends, s, "right")
         begin = np.concatenate([[0], ends[:-1]])[owner]
-        uid = batch.column("uid").to_numpy()[owner]
+        each = [hashlib.blake2b(data[a:b], digest_size=16).digest() for a, b in zip(s.tolist(), (s + n + length - 1).tolist(), strict=True)]
+        r = np.frombuffer(b"".join(each), "<i8").reshape(-1, 2)
         return pa.RecordBatch.from_arrays(
-            [pa.array(uid, pa.int64()), pa.array((s - begin).astype(np.int32)), pa.array(h), pa.array(r1), pa.array(r2), pa.array(n.astype(np.int32))],
+            [batch.column("uid").take(pa.array(owner)), pa.array((s - begin).astype(np.int32)), pa.array(h), pa.array(r[:, 0]), pa.array(r[:, 1]), pa.array(n.astype(np.int32))],
             ["uid", "start", "h", "r1", "r2", "n"],
         )
 
@@ -289,8 +301,9 @@ def _cover(starts: list[int], ranges: list[list[dict]], length: int) -> list[tup
 def repeats(source: DataFrame, config: SuffixConfig, depth: int = 0) -> DataFrame:
     """``uid``, ``start`` and ``ranges`` of the runs of (uid, raw) that hold windows found elsewhere."""
     length, levels = config.length, [max(1, round(x * config.length)) for x in config.levels]
-    found = source.mapInArrow(_run_work(length, levels[depth]), RUNS)
-    twice = save(found.groupBy("h").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("h"), "op2-keys")
+    kind = source.schema["uid"].dataType.simpleString()
+    found = source.mapInArrow(_run_work(length, levels[depth]), f"uid {kind}, start int, h long, r1 long, r2 long, n int")
+    twice = save(source.select("raw").mapInArrow(_key_work(length, levels[depth]), "h long").groupBy("h").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("h"), "op2-keys")
     members = save(found.join(twice, "h", "left_semi"), "op2-runs")
     place = F.struct("uid", "start")
     classes = members.groupBy(*RUN).agg(F.count(F.lit(1)).alias("c"), F.min(place).alias("a"), F.max(place).alias("b"))
@@ -317,13 +330,14 @@ def repeats(source: DataFrame, config: SuffixConfig, depth: int = 0) -> DataFram
 def remove_repeats(docs: DataFrame, text: str = "text", config: SuffixConfig = SuffixConfig()) -> DataFrame:
     """``row`` (the other columns), ``kept`` (remaining bytes), ``n_bytes`` and ``spans`` of each input row.
 
-    Rows are told apart by 64 hashed bits of all their columns; rows equal in all of
-    them get the same answer, and each counts as a text of its own.
+    Rows are told apart by 128 hashed bits of their text and 64 of the other columns;
+    rows equal in all of them get the same answer, and each counts as a text of its own.
     """
     length = config.length
     others = [c for c in docs.columns if c != text]
     body = F.col(f"`{text}`")
-    keyed = docs.select(F.xxhash64(*[F.col(f"`{c}`") for c in others], body).alias("uid"), body.cast("binary").alias("raw"), F.struct(*[F.col(f"`{c}`") for c in others]).alias("row"))
+    uid = F.unhex(F.concat(F.md5(F.coalesce(body, F.lit("")).cast("binary")), F.hex(F.xxhash64(*[F.col(f"`{c}`") for c in others], body))))
+    keyed = docs.select(uid.alias("uid"), body.cast("binary").alias("raw"), F.struct(*[F.col(f"`{c}`") for c in others]).alias("row"))
     found = repeats(keyed.select("uid", "raw"), config)
     per_text = found.groupBy("uid").agg(F.collect_list("start").alias("starts"), F.collect_list("ranges").alias("ranges"))
 
