@@ -1,6 +1,6 @@
 """Column profiles: row count, bounds, distinct count, density, physical order, histogram.
 
-All columns share three passes that read each row once and send only aggregates:
+All columns share two passes that read each row once and send only aggregates:
 
 - counts, bounds and a sketch of distinct values. The distinct count is exact up to
   ``exact_limit`` values, which are counted only for columns that the sketch shows near
@@ -9,8 +9,10 @@ All columns share three passes that read each row once and send only aggregates:
   gives the first and last value of each file part; the parts are then compared in the
   order of (file, row). Nothing is shuffled but one row for each file part. A column
   with a null is not ordered.
-- a sample of ``sample_rows`` rows by hashed content (all rows if there are no more)
-  for the equi-depth histograms. Bucket counts are scaled to the row count.
+
+Histograms are equi-depth and exact at any size: equal values are counted together, the
+values are dealt over cells of similar size, cut at a hashed sample of them, and each
+cell numbers its own. A value that fills several buckets bounds each of them.
 
 Columns that can't be ordered (arrays, maps) get counts only. An empty table has no
 statistics but its count.
@@ -31,11 +33,12 @@ from pyspark.sql import types as T
 
 @dataclass(frozen=True)
 class ProfileConfig:
-    sample_rows: int = 10_000
     exact_limit: int = 10_000
     #: Relative error of a 4096-register HyperLogLog.
     error: float = 0.0163
     buckets: int = 10
+    #: Values that cut a histogram's column into cells; more have no effect on the result.
+    cells: int = 256
     string_histogram_limit: int = 50
 
 
@@ -63,6 +66,9 @@ def physical_order(df: DataFrame) -> DataFrame:
     def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import pyarrow.compute as pc
 
+        names = ["file", "row", *[f"{k}{i}" for i in range(n) for k in ("ok", "lo", "hi")]]
+        held: list | None = None
+        after = None
         for b in batches:
             files = b.column("file").to_numpy(zero_copy_only=False)
             edges = [0, *(np.flatnonzero(files[1:] != files[:-1]) + 1).tolist(), b.num_rows]
@@ -75,7 +81,18 @@ def physical_order(df: DataFrame) -> DataFrame:
                     v = own.column(f"v{i}")
                     up = v.null_count == 0 and (len(v) < 2 or bool(pc.all(pc.less_equal(v.slice(0, len(v) - 1), v.slice(1))).as_py()))
                     out += [pa.array([up]), v.slice(0, 1), v.slice(len(v) - 1, 1)]
-                yield pa.RecordBatch.from_arrays(out, ["file", "row", *[f"{k}{i}" for i in range(n) for k in ("ok", "lo", "hi")]])
+                begins = (out[0][0].as_py(), out[1][0].as_py())
+                if held is not None and begins == after:
+                    for j in range(2, len(out), 3):
+                        up = held[j][0].as_py() and out[j][0].as_py() and bool(pc.less_equal(held[j + 2], out[j + 1])[0].as_py())
+                        held[j : j + 3] = [pa.array([up]), held[j + 1], out[j + 2]]
+                else:
+                    if held is not None:
+                        yield pa.RecordBatch.from_arrays(held, names)
+                    held = out
+                after = (begins[0], own.column("row")[own.num_rows - 1].as_py() + 1)
+        if held is not None:
+            yield pa.RecordBatch.from_arrays(held, names)
 
     schema = "file string, row long, " + ", ".join(f"ok{i} boolean, lo{i} {kinds[c]}, hi{i} {kinds[c]}" for i, c in enumerate(cols))
     found = source.mapInArrow(parts, schema)
@@ -113,19 +130,17 @@ def summary(df: DataFrame, config: ProfileConfig = ProfileConfig()) -> DataFrame
 
 
 def histogram(df: DataFrame, column: str, config: ProfileConfig = ProfileConfig()) -> DataFrame:
-    """Equi-depth buckets of a column: ``bucket``, ``lower_bound``, ``upper_bound``, ``frequency``.
-
-    The sample is at most ``sample_rows`` rows, so its window runs in one task.
-    """
-    c = F.col(_q(column))
-    values = df.select(c.alias("v")).filter("v IS NOT NULL")
-    total = values.agg(F.count(F.lit(1)).alias("total"))
-    sample = values.orderBy(F.xxhash64("v"), "v").limit(config.sample_rows) if config.sample_rows else values
-    n = F.count(F.lit(1)).over(Window.partitionBy())
-    ranked = sample.select("v", (F.row_number().over(Window.orderBy("v")) - 1).alias("i"), n.alias("n"))
-    chunk = F.ceil(F.col("n") / F.least(F.lit(config.buckets), F.col("n")))
-    sized = ranked.withColumn("bucket", F.floor(F.col("i") / chunk).cast("bigint")).groupBy("bucket").agg(F.min("v").alias("lower_bound"), F.max("v").alias("upper_bound"), F.count(F.lit(1)).alias("k"), F.max("n").alias("n"))
-    return sized.crossJoin(F.broadcast(total)).select("bucket", "lower_bound", "upper_bound", F.floor(F.col("k") * (F.col("total") / F.col("n"))).cast("bigint").alias("frequency"))
+    """Equi-depth buckets of a column: ``bucket``, ``lower_bound``, ``upper_bound``, ``frequency``; nulls are left out."""
+    counts = df.select(F.col(_q(column)).alias("v")).filter("v IS NOT NULL").groupBy("v").agg(F.count(F.lit(1)).alias("c"))
+    bounds = counts.orderBy(F.xxhash64("v"), "v").limit(config.cells).agg(F.sort_array(F.collect_list("v")).alias("bounds"))
+    placed = counts.crossJoin(F.broadcast(bounds)).select("v", "c", F.size(F.filter("bounds", lambda b: b < F.col("v"))).alias("cell"))
+    sums = placed.groupBy("cell").agg(F.sum("c").alias("s"))
+    base = sums.select("cell", (F.sum("s").over(Window.orderBy("cell")) - F.col("s")).alias("base"), F.sum("s").over(Window.partitionBy()).alias("n"))
+    before = F.coalesce(F.sum("c").over(Window.partitionBy("cell").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranked = placed.withColumn("before", before).join(F.broadcast(base), "cell").select("v", (F.col("base") + F.col("before")).alias("first"), (F.col("base") + F.col("before") + F.col("c") - 1).alias("last"), F.expr(f"(n + least({config.buckets}, n) - 1) div least({config.buckets}, n)").alias("chunk"))
+    dealt = ranked.select("*", F.explode(F.expr("sequence(first div chunk, last div chunk)")).alias("bucket"))
+    inside = F.least("last", (F.col("bucket") + 1) * F.col("chunk") - 1) - F.greatest("first", F.col("bucket") * F.col("chunk")) + 1
+    return dealt.groupBy("bucket").agg(F.min("v").alias("lower_bound"), F.max("v").alias("upper_bound"), F.sum(inside).alias("frequency"))
 
 
 def profile(df: DataFrame, config: ProfileConfig = ProfileConfig()) -> DataFrame:

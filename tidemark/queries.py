@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators.compiler import compile_plan
-from tidemark.operators.profiler import histogram, physical_order, summary
+from tidemark.operators.profiler import ProfileConfig, histogram, physical_order, summary
 from tidemark.plans import Col, Query, Rel, f32, i64, scan
 from tidemark.sources.catalog import TableCatalog
+from tidemark.sources.delimited import parse_lines, parse_schema
 from tidemark.sources.sinks import pipe_text
 
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events"]
@@ -88,7 +89,7 @@ PLANS: dict[str, tuple[Rel, str]] = {
         "SELECT c_custkey, n_name, c_acctbal FROM customer, nation, region WHERE c_nationkey = n_nationkey AND n_regionkey = r_regionkey AND r_name = 'EUROPE' AND c_acctbal > 5000",
     ),
     "b1": (
-        scan("lineitem").filter("l_shipdate", "<=", "1998-11-30").sort_multiple("l_returnflag", "l_linestatus", "l_orderkey", "l_linenumber").project_multiple("l_returnflag", "l_linestatus", "l_quantity", "l_extendedprice", "l_discount", "l_tax"),
+        scan("lineitem").filter("l_shipdate", "<=", "1998-11-30").sort_multiple("l_returnflag", "l_linestatus", "l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax").project_multiple("l_returnflag", "l_linestatus", "l_quantity", "l_extendedprice", "l_discount", "l_tax"),
         "SELECT l_returnflag, l_linestatus, l_quantity, l_extendedprice, l_discount, l_tax FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-11-30'",
     ),
     "b2": (
@@ -96,7 +97,7 @@ PLANS: dict[str, tuple[Rel, str]] = {
         "SELECT s_acctbal, s_name, n_name, p_partkey, p_brand, l_extendedprice FROM part, supplier, lineitem, nation, region WHERE p_partkey = l_partkey AND s_suppkey = l_suppkey AND p_size = 15 AND s_nationkey = n_nationkey AND n_regionkey = r_regionkey AND r_name = 'EUROPE'",
     ),
     "b3": (
-        _joined("customer", "orders", "lineitem").filter_multiple(("c_mktsegment", "==", "BUILDING"), *_eq(("c_custkey", "o_custkey"), ("l_orderkey", "o_orderkey")), ("o_orderdate", "<", "1998-03-15"), ("l_shipdate", ">", "1998-03-15")).sort_multiple("o_orderdate", "l_orderkey", "l_linenumber").project_multiple("l_orderkey", "l_extendedprice", "l_discount", "o_orderdate", "o_orderpriority"),
+        _joined("customer", "orders", "lineitem").filter_multiple(("c_mktsegment", "==", "BUILDING"), *_eq(("c_custkey", "o_custkey"), ("l_orderkey", "o_orderkey")), ("o_orderdate", "<", "1998-03-15"), ("l_shipdate", ">", "1998-03-15")).sort_multiple("o_orderdate", "l_orderkey", "l_linenumber", "l_extendedprice", "l_discount").project_multiple("l_orderkey", "l_extendedprice", "l_discount", "o_orderdate", "o_orderpriority"),
         "SELECT l_orderkey, l_extendedprice, l_discount, o_orderdate, o_orderpriority FROM customer, orders, lineitem WHERE c_mktsegment = 'BUILDING' AND c_custkey = o_custkey AND l_orderkey = o_orderkey AND o_orderdate < TIMESTAMP '1998-03-15' AND l_shipdate > TIMESTAMP '1998-03-15'",
     ),
     "b4": (
@@ -137,8 +138,9 @@ def plan(name: str) -> Query:
     return PLANS[name][0].build()
 
 
-def run(spark: SparkSession, sf_dir: str, name: str, hint: str | None = None) -> DataFrame:
-    return compile_plan(plan(name), TableCatalog.of_folder(spark, sf_dir, TABLES), hint)
+def run(spark: SparkSession, sf_dir: str, name: str, hint: str | None = None, catalog: TableCatalog | None = None) -> DataFrame:
+    """The query over the folder's tables, or over a catalog that may have statistics of them."""
+    return compile_plan(plan(name), catalog or TableCatalog.of_folder(spark, sf_dir, TABLES), hint)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -162,10 +164,42 @@ def _profile_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return histogram(_table(spark, sf_dir, "nation"), "n_nationkey")
 
 
+def _histogram_of(column: str) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf_dir: histogram(_table(spark, sf_dir, "lineitem"), column)
+
+
+def _histogram_sql(column: str) -> str:
+    ranked = f"SELECT {column} AS v, row_number() OVER (ORDER BY {column}) - 1 AS i, count(*) OVER () AS n FROM lineitem"
+    return f"SELECT CAST(i // ((n + 9) // 10) AS BIGINT) AS bucket, min(v) AS lower_bound, max(v) AS upper_bound, count(*) AS frequency FROM ({ranked}) GROUP BY 1"
+
+
+def _profile_approx(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Estimated distinct counts against exact ones: three times the sketch's error is allowed."""
+    cols = ["l_orderkey", "l_extendedprice", "l_partkey"]
+    df = _table(spark, sf_dir, "lineitem").select(*cols)
+    exact = df.agg(*[F.count_distinct(c).alias(c) for c in cols]).unpivot([], cols, "column_name", "exact")
+    rough = summary(df, ProfileConfig(exact_limit=0)).select("column_name", "ndv")
+    return exact.join(rough, "column_name").select("column_name", F.col("exact"), (F.abs(F.col("ndv") - F.col("exact")) <= 3 * ProfileConfig().error * F.col("exact")).alias("close"))
+
+
 def _pipe_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pipe_text(_table(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey"))
 
 
+def _pipe_sink_floats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pipe_text(_table(spark, sf_dir, "lineitem").select("l_orderkey", "l_quantity", "l_extendedprice", "l_discount"))
+
+
+def _text_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pipe text read back by its schema."""
+    schema = parse_schema("s_suppkey|s_name|s_acctbal|\nI64|STRING|FLOAT64|\n")
+    return parse_lines(pipe_text(_table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", "s_acctbal")), schema)
+
+
+def _plan_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compile_plan(Query.from_json(plan("b4").to_json()), TableCatalog.of_folder(spark, sf_dir, TABLES))
+
+
 _OTHERS: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
     "profile_summary": (
         _profile_customer,
@@ -188,6 +222,16 @@ _OTHERS: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
         _profile_histogram,
         "SELECT CAST(floor(i / 3) AS BIGINT) AS bucket, min(n_nationkey) AS lower_bound, max(n_nationkey) AS upper_bound, count(*) AS frequency FROM (SELECT n_nationkey, row_number() OVER (ORDER BY n_nationkey) - 1 AS i FROM nation) GROUP BY 1",
     ),
+    "profile_histogram_few_values": (_histogram_of("l_linenumber"), _histogram_sql("l_linenumber")),
+    "profile_histogram_quantity": (_histogram_of("l_quantity"), _histogram_sql("l_quantity")),
+    "profile_histogram_many_values": (_histogram_of("l_extendedprice"), _histogram_sql("l_extendedprice")),
+    "profile_approximate_ndv": (
+        _profile_approx,
+        "SELECT 'l_orderkey' AS column_name, count(DISTINCT l_orderkey) AS exact, true AS close FROM lineitem UNION ALL SELECT 'l_extendedprice', count(DISTINCT l_extendedprice), true FROM lineitem UNION ALL SELECT 'l_partkey', count(DISTINCT l_partkey), true FROM lineitem",
+    ),
+    "text_ingest": (_text_ingest, "SELECT s_suppkey, s_name, s_acctbal FROM supplier"),
+    "pipe_sink_floats": (_pipe_sink_floats, "SELECT concat(l_orderkey, '|', CAST(l_quantity AS VARCHAR), '|', CAST(l_extendedprice AS VARCHAR), '|', CAST(l_discount AS VARCHAR), '|') AS line FROM lineitem"),
+    "plan_json": (_plan_json, PLANS["b4"][1]),
     "pipe_sink": (_pipe_sink, "SELECT concat(n_nationkey, '|', n_name, '|', n_regionkey, '|') AS line FROM nation"),
 }
 

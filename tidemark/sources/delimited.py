@@ -37,7 +37,12 @@ def parse_schema(source: str) -> T.StructType:
 
 def read_table(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """Lines are split on the executors; a line with a wrong number of fields, or a field that isn't of its type, fails the query."""
-    lines = spark.read.text(path).select(F.trim("value").alias("value")).filter("value <> ''")
+    return parse_lines(spark.read.text(path), schema)
+
+
+def parse_lines(lines: DataFrame, schema: T.StructType) -> DataFrame:
+    """The rows of a column of lines."""
+    lines = lines.select(F.trim(F.col(lines.columns[0])).alias("value")).filter("value <> ''")
     n = len(schema)
     parts = F.split("value", r"\|", -1)
     got = lines.select(F.when(F.size(parts) == n + 1, F.slice(parts, 1, n)).otherwise(parts).alias("f"), F.size(parts).alias("n"), F.element_at(parts, -1).alias("end"))

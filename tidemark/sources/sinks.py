@@ -12,7 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -65,6 +65,17 @@ def write_pipe(df: DataFrame, path: str) -> None:
     pipe_text(df).write.mode("overwrite").text(path)
 
 
+def write_text(spark: SparkSession, path: str, body: str) -> None:
+    """A small file, in any store that Spark writes."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    out = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(at, True)
+    try:
+        out.write(bytearray(body.encode("utf-8")))
+    finally:
+        out.close()
+
+
 def write_parquet(df: DataFrame, path: str, sort_by: list[str] | None = None) -> None:
     """Sorted files let later scans skip row groups by their bounds."""
     out = df.repartitionByRange(*sort_by).sortWithinPartitions(*sort_by) if sort_by else df
