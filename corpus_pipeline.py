@@ -8,12 +8,14 @@ the folder of the tables. All but the last return the columns of ``documents``:
 - ``line_dedup`` deletes aligned blocks of lines that earlier documents hold, and drops
   documents that lose all their lines. ``n_chars`` follows the text.
 - ``near_dedup`` keeps the document with the smallest id of each group.
-- ``decontaminate`` drops documents that hold a window of a benchmark item, also those
-  with a null id, each by its text.
+- ``decontaminate`` drops documents that hold a window of a benchmark item, each by its
+  text, whatever its id.
 - ``pack`` returns the pieces with their places in sequences.
 
-Rows with a null id pass the stages that compare documents. Rows that share an id share
-their fate there. Extra columns are carried. Empty tables pass as such.
+Rows with a null id pass the two deduplicating stages. Rows that share an id share their
+fate in ``near_dedup``. Null texts and texts without a letter go in the first stage. Very
+long texts are read whole. Extra columns are carried through all stages but the last,
+whatever their names. Empty tables pass as such.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import save, table
-from tidemark.llm.decontaminate import find_leaks
+from tidemark.llm.decontaminate import drop_leaks
 from tidemark.llm.language_id import UNKNOWN, identify_language, train_language_model
 from tidemark.llm.line_dedup import remove_shared_lines
 from tidemark.llm.near_dedup import near_duplicates
@@ -54,10 +56,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    th = F.when(F.col("doc_id").isNull(), F.xxhash64("text"))
-    leaks = find_leaks(docs.select("doc_id", "text", th.alias("th")), table(spark, sf_dir, "benchmark"))
-    leaks = leaks.filter("n_hit > 0").select(F.col("row.doc_id").alias("_id"), F.col("row.th").alias("_th")).distinct()
-    return docs.join(leaks, F.col("doc_id").eqNullSafe(F.col("_id")) & th.eqNullSafe(F.col("_th")), "left_anti").select(docs.columns)
+    return drop_leaks(docs, table(spark, sf_dir, "benchmark"))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
