@@ -23,7 +23,9 @@ The earliest holder of a line keeps it, so no content vanishes from the corpus.
 line pairs no documents, but may be part of a block. A null text stays null, and a
 text without a deleted line stays as it is, to the byte. A text that loses all its lines
 becomes empty. Rows with a null id are not compared. Rows equal in id and text are one
-document. An empty table gives an empty result.
+document. Ids may have any type that has an order. A very long text is one row with its
+partners' lines, at most about ``partners_a_row`` of them. Extra columns are carried in
+``row``, so none clashes. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -281,25 +283,33 @@ def remove_shared_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "te
     copies = lambda c: F.ceil(F.col(c) / config.pairs_a_copy)
     firsts = first.groupBy("first").agg(F.max("c").alias("most")).select("first", F.explode(F.sequence(F.lit(0).cast("long"), copies("most") - 1)).alias("copy"))
     lines_of = one.select(F.col("doc").alias("first"), F.col("lines").alias("earlier"))
-    partners = _paired(asks).withColumn("copy", F.pmod(F.xxhash64("doc"), copies("rarity"))).join(firsts.join(lines_of, "first"), ["first", "copy"]).drop("copy")
+    either = lambda a, b: F.zip_with(a, b, lambda x, y: x | y)
 
-    def aligned(partners: DataFrame, *by: str) -> DataFrame:
-        lists = partners.groupBy("doc", *by).agg(F.collect_list(F.struct("rarity", "first", "cover", "earlier")).alias("partners")).drop(*by)
-        return one.join(lists, "doc").mapInArrow(_align(config.min_chars), f"doc {key_type}, gone array<boolean>")
+    def aligned(pairs: DataFrame, lines: DataFrame, by: list[str]) -> DataFrame:
+        """Which lines of each document go; rows of at most about ``partners_a_row`` partners are aligned one by one."""
+        many = pairs.groupBy("doc").agg(F.count(F.lit(1)).alias("p")).filter(F.col("p") > config.partners_a_row)
+        many = save(many.select("doc", F.ceil(F.col("p") / config.partners_a_row).alias("slots")), "op5-many")
+        dealt = pairs.join(many, "doc", "left").withColumn("slot", F.pmod(F.xxhash64("first"), F.coalesce("slots", F.lit(1)))).join(lines, by)
+        lists = dealt.groupBy("doc", "slot").agg(F.collect_list(F.struct("rarity", "first", "cover", "earlier")).alias("partners")).drop("slot")
+        parts = one.join(lists, "doc").mapInArrow(_align(config.min_chars), f"doc {key_type}, gone array<boolean>")
+        merged = parts.groupBy("doc").agg(F.collect_list("gone").alias("lists"))
+        return merged.select("doc", F.aggregate(F.slice("lists", 2, F.size("lists")), F.col("lists")[0], either).alias("gone"))
 
-    either = lambda a, b: F.zip_with(a, b, lambda x, y: x | y)
     stands = F.exists("cover", lambda r: F.exists(F.slice("gone", r["lo"] + 1, r["hi"] - r["lo"]), lambda g: ~g))
-    gone = save(aligned(partners), "op5-gone")
+    pairs = _paired(asks).withColumn("copy", F.pmod(F.xxhash64("doc"), copies("rarity")))
+    gone = save(aligned(pairs, firsts.join(lines_of, "first"), ["first", "copy"]), "op5-gone")
     left, low, high = asks.filter("c > 2"), 0, config.batch
     while True:
         left = save(left.join(gone, "doc").filter(stands).drop("gone"), "op5-left")
         if left.isEmpty():
             break
-        place = F.pmod(F.xxhash64("other"), F.lit(1 << 30)) * F.col("c") / float(1 << 30)
-        met = left.join(held.select("h", F.col("doc").alias("other")), "h").filter((F.col("other") < F.col("doc")) & (F.col("other") != F.col("first")) & (place >= low) & (place < high))
-        met = _paired(met.drop("first").withColumnRenamed("other", "first")).withColumn("slot", F.pmod(F.xxhash64("first"), F.lit(-(-high // config.partners_a_row))))
-        more = aligned(met.join(lines_of, "first"), "slot").groupBy("doc").agg(F.collect_list("gone").alias("lists"))
-        more = more.select("doc", F.aggregate(F.slice("lists", 2, F.size("lists")), F.col("lists")[0], either).alias("more"))
+        # A key's next holders are picked before they meet what stands.
+        place = F.pmod(F.xxhash64("other"), F.lit(1 << 30)) * F.col("n") / float(1 << 30)
+        open_ = save(left.select("h", F.col("c").alias("n")).distinct(), "op5-open")
+        others = held.select("h", F.col("doc").alias("other")).join(open_, "h").filter((place >= low) & (place < high)).drop("n")
+        met = left.join(others, "h").filter((F.col("other") < F.col("doc")) & (F.col("other") != F.col("first")))
+        met = _paired(met.drop("first").withColumnRenamed("other", "first"))
+        more = aligned(save(met, "op5-met"), lines_of, ["first"]).withColumnRenamed("gone", "more")
         gone = save(gone.join(more, "doc", "left").select("doc", F.when(F.col("more").isNull(), F.col("gone")).otherwise(either("gone", "more")).alias("gone")), "op5-gone")
         low, high = high, high * config.growth
         left = left.filter(F.col("c") > low)
