@@ -8,8 +8,9 @@ a document's size being its text's UTF-8 bytes plus 1, with few links between sh
    rows hold is ``parts`` nodes and not one.
 2. Each round, the cells of a text vote with their bytes; the rest want to move to the
    shard with the most. A shard admits movers, in hashed order, up to its quota: an even
-   share less what it holds. Rounds end when nobody can move. Loads by shard, and by
-   shard and hash bucket, are all that comes to the driver: at most 16 and 16 * 1024 rows.
+   share less what it holds. Rounds end when nobody can move, or after ``rounds``, as
+   the next step places all that is left. Loads by shard, and by shard and hash bucket,
+   are all that comes to the driver: at most 16 and 16 * 1024 rows.
 3. Texts whose cells are still in several shards, or beyond an even share, are placed
    whole: the few large ones each in the shard with most room, the others in hashed order
    up to where the shards' remaining shares end. Only a text that fits in no shard stays
@@ -18,9 +19,11 @@ a document's size being its text's UTF-8 bytes plus 1, with few links between sh
    shards: put in hashed order, they are cut where the shards' remaining shares end. So
    each shard's size is within one document of an even share if these suffice.
 5. Slots are counted by shard and hash bucket, then within it, so no task holds a shard.
+   A shard has as many buckets as its own rows ask for.
 
-A null text counts as empty. Rows with equal or null ids are kept, each with its slot.
-An empty table gives an empty result.
+A null text counts as empty. Rows with equal or null ids are kept, each with its slot; a
+text of any length is one row. Only the id and text columns are used, so extra columns
+can't clash. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -45,6 +48,8 @@ class ShardConfig:
     #: A text over this part of an even share is placed on the driver: at most shards * large of them.
     large: int = 64
     rows_per_bucket: int = 2000
+    #: Rows of a shard that one window numbers.
+    slots_per_bucket: int = 256
     most_buckets: int = 65536
 
 
@@ -149,9 +154,12 @@ def shard(docs: DataFrame, id_col: str = "doc_id", text: str = "text", config: S
     known = save(rows.join(cells, [*_GROUP, "part"], "left").select("id", "size", "text_crc32", "g1", "label", _bucket(buckets, "id", "g1").alias("bucket")), "op10-known")
     fill = known.filter("label IS NULL")
     placed = _before(fill, "size", "g1", "id").withColumn("shard", _shard_at(room))
-    cols = ["id", "size", "text_crc32", "bucket"]
+    cols = ["id", "size", "text_crc32"]
     final = known.filter("label IS NOT NULL").select(*cols, F.col("label").alias("shard")).unionByName(placed.select(*cols, "shard"))
     final = save(final, "op10-shards")
+    per_shard = {r["shard"]: r["c"] for r in final.groupBy("shard").agg(F.count(F.lit(1)).alias("c")).collect()}
+    cuts = [max(1, min(config.most_buckets, -(-per_shard.get(s, 0) // config.slots_per_bucket))) for s in range(config.shards)]
+    final = final.withColumn("bucket", F.pmod(F.xxhash64("id", "text_crc32"), _of(cuts, "shard")))
     counts = final.groupBy("shard", "bucket").agg(F.count(F.lit(1)).alias("c"))
     start = counts.select("shard", "bucket", (F.sum("c").over(Window.partitionBy("shard").orderBy("bucket")) - F.col("c")).alias("start"))
     nth = F.row_number().over(Window.partitionBy("shard", "bucket").orderBy("id", "text_crc32")) - 1
