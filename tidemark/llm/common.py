@@ -2,7 +2,8 @@
 
 Intermediate tables go to the folder that ``spark.checkpoint.dir`` names, which
 driver and executors share; a written table survives the loss of an executor and
-cuts lineage. Only a session without that setting (tests) gets a folder of its own.
+cuts lineage. Only a local session without that setting (tests) gets a folder of its own;
+a cluster without it is an error, as executors don't share the driver's folders.
 """
 
 from __future__ import annotations
@@ -23,6 +24,9 @@ def work_root(spark: SparkSession) -> str:
     """The shared folder for intermediate tables."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         app = spark.sparkContext.applicationId
         root = _OWN.setdefault(app, "") or _OWN.update({app: tempfile.mkdtemp(prefix="tidemark-")}) or _OWN[app]
     return f"{root.rstrip('/')}/tidemark-{spark.sparkContext.applicationId}"
