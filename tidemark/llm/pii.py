@@ -16,8 +16,9 @@
 4. A tagged span is added if it touches no base span, its characters' mean posterior is
    ``min_posterior`` or more and it passes its kind's check. Base spans stay.
 
-A null or empty text has no spans. Repeated rows get equal answers. An empty table gives
-an empty result; without a base span to learn from, nothing is added.
+The bounds of the training sample are parameters of ``PiiConfig``; all texts are searched
+whole, however long. A null or empty text has no spans. Repeated rows get equal answers.
+Input columns come back in ``row``, so none clashes. An empty table gives an empty result; without a base span to learn from, nothing is added.
 """
 
 from __future__ import annotations
@@ -50,8 +51,12 @@ _MARK = re.compile(r"[0-9@]").finditer
 
 @dataclass(frozen=True)
 class PiiConfig:
+    #: Bounds of the training sample: texts, windows a text around spans and other marks, and windows drawn from them.
     sample_docs: int = 600
+    spans_a_text: int = 4
+    marks_a_text: int = 2
     windows: int = 1200
+    #: Characters that are decoded at once.
     window: int = 64
     hidden: int = 20
     epochs: int = 6
@@ -265,7 +270,7 @@ def train_tagger(docs: DataFrame, text: str = "text", order_by: str = "doc_id",
             spans = [(k, a, b) for k, a, b in every if valid(k, t[a:b])]
             hiding = [(a, b) for k, a, b in every if k > 1 and len(_digits(t[a:b])) >= 13 and not valid(k, t[a:b])]
             found = []
-            for p in [s[1] for s in spans][:4] + at[:: max(1, len(at) // 2)][:2]:
+            for p in [s[1] for s in spans][: config.spans_a_text] + at[:: max(1, len(at) // config.marks_a_text)][: config.marks_a_text]:
                 lo = max(0, p - size // 3)
                 if any(a < lo + 2 * size and b > lo for a, b in hiding):
                     continue

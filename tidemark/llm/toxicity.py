@@ -4,9 +4,9 @@
    its beginnings of four to seven letters, so inflected forms share their stem.
 2. Log-odds of a feature between toxic and clean labelled documents, with an informative
    Dirichlet prior in proportion to the feature's frequency over both, and their standard
-   errors. Features with a z-score and log-odds high enough form the lexicon (at most
-   ``most_features``, the highest). It is fitted on about ``sample_docs`` labelled rows;
-   features are counted on the executors and only significant ones come to the driver.
+   errors. Features with a z-score and log-odds high enough form the lexicon. It is fitted
+   on about ``sample_docs`` labelled rows; features are counted on the executors and only
+   the significant ones, which that sample bounds, come to the driver.
 3. A token scores its best feature's log-odds; any other token scores ``-drift``. A
    linear scan finds all maximal-scoring segments of a whole text.
 4. Scores of segments in clean text follow an extreme-value law. Its scale comes from
@@ -17,7 +17,9 @@
 5. A logistic curve fitted on the same sample turns evidence into a probability.
 
 A null or empty text has no segment and gets the curve's value at zero evidence. Without
-labels of both kinds every score is 0. Repeated rows get equal answers.
+labels of both kinds every score is 0. Repeated rows get equal answers. Very long texts
+are scanned whole, in linear time. Input columns come back in ``row``, so none clashes. An
+empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -45,7 +47,6 @@ class ToxicConfig:
     min_z: float = 3.1
     #: Log-odds of a lexicon feature at least; long documents hold more of any word, which weighs less than this.
     min_odds: float = 3.0
-    most_features: int = 20_000
     #: Documents that the prior counts for: a share of the sample, and the least.
     prior_share: float = 0.013
     least_prior: float = 25.0
@@ -169,7 +170,7 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, text: str = "text", label
     odds = F.log(y1 / (n[1] + strength - y1)) - F.log(y0 / (n[0] + strength - y0))
     z = odds / F.sqrt(1 / y1 + 1 / y0)
     picked = counts.filter((F.col("f") != "") & (both >= config.min_docs) & (F.col("c1") > 0) & (both < n[0] + n[1])).select("f", odds.alias("odds"), z.alias("z"))
-    picked = picked.filter((F.col("z") >= config.min_z) & (F.col("odds") >= config.min_odds)).orderBy(F.col("z").desc(), "f").limit(config.most_features).collect()
+    picked = picked.filter((F.col("z") >= config.min_z) & (F.col("odds") >= config.min_odds)).collect()
     model = ToxicModel({r["f"]: float(r["odds"]) for r in picked}, config.drift, chance=config.chance)
     lexicon = model.lexicon
 
