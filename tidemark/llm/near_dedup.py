@@ -27,7 +27,9 @@
 
 Null, empty and blank texts have an empty set, are linked with nothing and stay. Rows
 that share an id are linked like any equal ids: they are one document. Rows with a null
-id are alone and stay, with a null component. An empty table gives an empty result.
+id are alone and stay, with a null component. Ids may have any type that has an order.
+Very long texts are read whole; a set is one row. Only the id and text columns are used,
+so extra columns can't clash. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -139,7 +141,7 @@ def _sets_work(size: int):
     return work
 
 
-def cell_links(ids: list[int], roots: list[int], items: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+def cell_links(ids: list, roots: list, items: list[np.ndarray], percent: int) -> list[tuple]:
     """Linked pairs with different roots among a block of sets, from products of their incidence matrices."""
     if len(set(roots)) < 2:
         return []
@@ -156,9 +158,9 @@ def cell_links(ids: list[int], roots: list[int], items: list[np.ndarray], percen
         part = np.zeros((len(ids), 4096), np.float32)
         part[owner[a:b], column[a:b] - lo] = 1
         both += part @ part.T
-    r, n = np.array(roots), np.array(ids)
+    r, n = (np.unique(np.array(x), return_inverse=True)[1] for x in (roots, ids))
     good = (100 * both >= percent * (sizes[:, None] + sizes - both)) & (r[:, None] != r) & (n[:, None] < n)
-    return [(int(n[x]), int(n[y])) for x, y in zip(*np.nonzero(good), strict=True)]
+    return [(ids[x], ids[y]) for x, y in zip(*np.nonzero(good), strict=True)]
 
 
 def _cell_links(percent: int):
@@ -177,9 +179,11 @@ def _cell_links(percent: int):
                 ids.append(row[3])
                 roots.append(row[4])
                 items.append(values[offsets[n] : offsets[n + 1]].copy())
-            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], ["a", "b"])
-        found = cell_links(ids, roots, items, percent) if ids else []
-        yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], ["a", "b"])
+            kind = batch.schema.field("id").type
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], kind), pa.array([y for _, y in found], kind)], ["a", "b"])
+        if ids:
+            found = cell_links(ids, roots, items, percent)
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], kind), pa.array([y for _, y in found], kind)], ["a", "b"])
 
     return run
 
@@ -224,16 +228,18 @@ def block_pairs(grouped: DataFrame, block: int) -> DataFrame:
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", config: NearConfig = NearConfig()) -> DataFrame:
     """``id``, ``size`` (of the set) and ``component`` of each input row."""
     source = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text}`").alias("text"))
-    signed = save(source.mapInArrow(batched(_signature_work(config)), "id long, size long, lo long, hi long, bands array<long>"), "op3-signatures")
+    kind = docs.schema[id_col].dataType.simpleString()
+    signed = save(source.mapInArrow(batched(_signature_work(config)), f"id {kind}, size long, lo long, hi long, bands array<long>"), "op3-signatures")
     known = signed.filter("id IS NOT NULL AND size > 0")
     key = ["size", "lo", "hi"]
     heads = known.groupBy(*key).agg(F.min_by(F.struct("id", "bands"), "id").alias("head"))
     heads = save(heads.select(*key, "head.*"), "op3-classes")
     rows = heads.select(F.explode("bands").alias("band"), "id", "size")
-    shared = rows.groupBy("band").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("band")
+    # What is counted by key is written first: a join of two plain shuffles can be split where a key is hot.
+    shared = save(rows.groupBy("band").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("band"), "op3-shared")
     buckets = save(rows.join(shared, "band", "left_semi"), "op3-buckets")
     wanted = buckets.select("id").distinct()
-    sets = save(source.join(wanted, "id", "left_semi").mapInArrow(batched(_sets_work(config.shingle)), "id long, items array<long>"), "op3-sets")
+    sets = save(source.join(wanted, "id", "left_semi").mapInArrow(batched(_sets_work(config.shingle)), f"id {kind}, items array<long>"), "op3-sets")
     lone = sets.select("id", F.explode("items").alias("e")).groupBy("e").agg(F.count(F.lit(1)).alias("c"), F.min("id").alias("id")).filter("c = 1")
     lone = save(lone.groupBy("id").agg(F.count(F.lit(1)).alias("lone")), "op3-lone")
     p = config.percent
@@ -250,15 +256,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     owned = buckets.join(lone, "id", "left").select("band", "id", "size", (F.col("size") - F.coalesce("lone", F.lit(0))).alias("own"))
     owned = save(owned.filter(can("size", "own", "own", "own")), "op3-owned")
     pivot = owned.groupBy("band").agg(F.min(F.struct((1 - F.col("own") / F.col("size")).alias("rate"), F.col("id").alias("pivot"), F.col("size").alias("n"), F.col("own").alias("m"))).alias("p")).select("band", "p.pivot", "p.n", "p.m")
+    pivot = save(pivot, "op3-pivots")
     first = owned.join(pivot, "band").filter("id <> pivot").filter(can("size", "own", "n", "m")).select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct()
     links = save(verified(first), "op3-first")
     roots = components(links, "op3-a")
     grouped = owned.join(roots, "id", "left").select("band", "id", "size", "own", F.coalesce("root", "id").alias("root"))
-    open_ = grouped.groupBy("band").agg(F.min("root").alias("r"), F.max("root").alias("s")).filter("r <> s").select("band")
+    open_ = save(grouped.groupBy("band").agg(F.min("root").alias("r"), F.max("root").alias("s")).filter("r <> s").select("band"), "op3-several")
     grouped = save(grouped.join(open_, "band", "left_semi"), "op3-open")
     cells = block_pairs(grouped, config.block)
     cells = cells.join(sets, "id").repartition("band", "i", "j").sortWithinPartitions("band", "i", "j")
-    second = save(cells.select("band", "i", "j", "id", "root", "items").mapInArrow(_cell_links(p), "a long, b long").distinct(), "op3-second")
+    second = save(cells.select("band", "i", "j", "id", "root", "items").mapInArrow(_cell_links(p), f"a {kind}, b {kind}").distinct(), "op3-second")
     if not second.isEmpty():
         roots = components(links.union(second), "op3-b")
     classes = heads.join(roots, "id", "left").select(*key, F.coalesce("root", "id").alias("component"))
