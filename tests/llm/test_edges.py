@@ -1,8 +1,10 @@
 """Nulls, empty and long texts, repeated rows, empty tables and clashing columns, for every operator."""
 
+from types import SimpleNamespace
+
 import pytest
-from pyspark.sql import functions as F
 
+from tidemark.llm.common import work_root
 from tidemark.llm.decontaminate import find_leaks
 from tidemark.llm.language_id import ConvConfig, identify_language, train_language_model
 from tidemark.llm.line_dedup import remove_shared_lines
@@ -11,7 +13,7 @@ from tidemark.llm.packing import pack
 from tidemark.llm.pii import PiiConfig, find_pii, train_tagger
 from tidemark.llm.sharding import shard
 from tidemark.llm.suffix_dedup import SuffixConfig, remove_repeats
-from tidemark.llm.syncmers import fingerprint, with_next
+from tidemark.llm.syncmers import fingerprints, likeness, with_next
 from tidemark.llm.toxicity import find_toxic, train_toxicity
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, id long, h string, row string, kept string, label int, a int, words string"
@@ -80,14 +82,16 @@ def test_near(docs):
 
 
 def test_fingerprints(docs):
-    base = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    out = with_next(fingerprint(base, "text", "own"), "doc_id", ["text", "own"])
-    assert ids(out, "doc_id") == expected(docs)
+    out = with_next(fingerprints(docs).select("row.*", "anchors"))
+    assert ids(out, "row.doc_id") == expected(docs)
     rows = out.collect()
-    assert all(r["own"] and r["next_own"] for r in rows)
     if rows:
-        assert {r["doc_id"]: r["next_text"] for r in rows if r["doc_id"] == 9}[9] == ROWS[9][1]
-        assert len({tuple(r["own"]) for r in rows if r["text"] == LONG}) == 1
+        prints = {(r["row"]["doc_id"], r["row"]["text"]): r["row"]["anchors"] for r in rows}
+        assert prints[2, None] == prints[3, ""] == prints[4, " \n\t "] == [] and all(p for (i, _), p in prints.items() if i in (1, 5, 6, 8, 9, 10))
+        assert prints[5, LONG] == prints[6, LONG]
+        assert {r["row"]["doc_id"]: r["next"]["text"] for r in rows}[10] == ROWS[10][1]
+        near = out.select("row.doc_id", likeness("row.anchors", "next.anchors").alias("n")).collect()
+        assert {r["doc_id"]: r["n"] for r in near}[3] == 1 and all(0 <= r["n"] <= 1 for r in near)
 
 
 def test_lines(docs):
@@ -115,7 +119,7 @@ def test_leaks(spark, docs, items):
     assert ids(out, "row.doc_id") == expected(docs)
     got = {r["doc_id"]: (r["n_hit"], r["items"]) for r in out.select("row.doc_id", "n_hit", "items").collect()}
     if got and items:
-        assert got[1] == (10, ["1"]) and got[2] == (0, []) and got[5][0] == 8000
+        assert got[1] == (10, ["1"]) and got[2] == (0, []) and got[5] == (8000, [])
     else:
         assert all(v == (0, []) for v in got.values())
 
@@ -145,6 +149,14 @@ def test_pii(docs):
         assert got[1] == [("email", 61), ("phone", 78)] and got[2] == [] and got[3] == []
 
 
+def test_a_cluster_needs_a_shared_folder():
+    session = lambda master: SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=SimpleNamespace(master=master, applicationId="x"))
+    assert work_root(session("local[2]"))
+    for master in ("yarn", "spark://host:7077", "local-cluster[2,1,1024]"):
+        with pytest.raises(ValueError, match="checkpoint"):
+            work_root(session(master))
+
+
 def test_shards(docs):
     out = shard(docs).collect()
     assert sorted((r["id"] is not None, r["id"] or 0) for r in out) == expected(docs)

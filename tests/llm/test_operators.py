@@ -3,12 +3,14 @@
 import hashlib
 import random
 import re
+import struct
 import zlib
 from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
 import pytest
+import xxhash
 from conftest import MIDDLE, SMALL
 from pyspark.sql import functions as F
 
@@ -61,6 +63,23 @@ def test_suffix_removal(spark, length, classes):
         assert all(gone[a:b].all() and not gone[b] and (a == 0 or not gone[a - 1]) for a, b in spans)
 
 
+def test_runs_with_equal_rolling_hashes_are_told_apart(spark):
+    # Of this sequence and its complement all polynomial hashes modulo 2**64 with an odd base are equal.
+    x = "".join("ab"[bin(i).count("1") % 2] for i in range(1024))
+    y = x.translate(str.maketrans("ab", "ba"))
+    assert len({int(suffix_dedup.Rolling(np.frombuffer(t.encode(), np.uint8)).of(slice(0, 1), slice(1024, None))[0]) for t in (x, y)}) == 1
+    df = spark.createDataFrame([(1, x), (2, x), (3, y)], "doc_id long, text string")
+    out = suffix_dedup.remove_repeats(df, config=suffix_dedup.SuffixConfig(1024, levels=(1.0,)))
+    assert {r["doc_id"]: bytes(r["kept"]).decode() for r in out.select("row.doc_id", "kept").collect()} == {1: "", 2: "", 3: y}
+
+
+def test_near_duplicates_of_string_ids(spark):
+    words = [f"w{i}" for i in range(200)]
+    rows = [("c", " ".join(words)), ("b", " ".join([*words[:-1], "x"])), ("a", "something else that is alone here"), ("d", " ".join(words))]
+    out = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id string, text string"), config=near_dedup.NearConfig(block=2)).collect()
+    assert {r["id"]: r["component"] for r in out} == {"a": "a", "b": "b", "c": "b", "d": "b"}
+
+
 def test_near_duplicates(spark, docs):
     sets = {}
     for i, r in docs.items():
@@ -122,45 +141,137 @@ def test_cells_and_components(spark):
     assert roots == {i: 0 for i in range(1, 31)} | {i: 50 for i in (51, 52, 60)}
 
 
+def plain_anchors(text, k=6, longest=32):
+    """Closed syncmers one by one; stretches without white space as the module's docstring says."""
+    tokens = []
+    for w in re.split("[\x20\x09-\x0D]+", text):
+        at = 0
+        for p in range(1, len(w)):
+            if len(w) > longest and (p >= longest or len(w) - p >= longest):
+                tokens.append(w[at:p])
+                at = p
+        tokens += [w[at:]] if w else []
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+
+    def chain(*longs):
+        seed = 42
+        for x in longs:
+            seed = xxhash.xxh64_intdigest(struct.pack("<q", x), seed)
+        return seed
+
+    own = [0] * (k - 1) + [signed(xxhash.xxh64_intdigest(t.encode(), 42)) for t in tokens] + [0] * (k - 1)
+    pairs = [(1 << 63) - 1 if a == b == 0 else signed(chain(a, b)) for a, b in zip(own, own[1:])]
+    out = []
+    for i in range(len(pairs) - k + 2):
+        mer = pairs[i : i + k - 1]
+        if min(mer) < (1 << 63) - 1 and min(mer) in (mer[0], mer[-1]):
+            out.append((chain(mer[0], mer[2], mer[4]) >> 33, i))
+    return out
+
+
 def test_fingerprints(spark, docs):
     order = sorted(docs, reverse=True)
     rows = {r["doc_id"]: r for r in result(spark, "op4_syncmers")}
+    prints = {i: plain_anchors(docs[i]["text"]) for i in docs}
+    shown = lambda x: " ".join(f"{h}:{at}" for h, at in x)
+
+    def alike(x, y):
+        x, y = {h for h, _ in x}, {h for h, _ in y}
+        return len(x & y) / len(x | y) if x | y else 1.0
+
+    assert len(rows) == len(docs)
     for k, i in enumerate(order):
-        t, n = docs[i]["text"], docs[order[(k + 1) % len(order)]]["text"]
+        j = order[(k + 1) % len(order)]
+        t, n, r = docs[i]["text"], docs[j]["text"], rows[i]
         cut = len(t) // 3
-        assert rows[i]["n_chars"] == len(t)
-        assert rows[i]["edited_sha256"] == hashlib.sha256((t[: len(t) - cut] + n[:cut]).encode()).hexdigest()
-    long = [r for r in rows.values() if r["n_chars"] > 500]
-    assert np.mean([r["near_edited"] for r in long]) > 0.4 and np.mean([r["near_next"] for r in long]) < 0.05
-    by_text = defaultdict(set)
-    for i, r in rows.items():
-        by_text[docs[i]["text"]].add(r["fingerprint"])
-    assert all(len(x) == 1 for x in by_text.values())
-
-
-def test_order_of_neighbours_over_buckets(spark):
-    df = spark.createDataFrame([(i * i, f"t{i}") for i in range(200)], "doc_id long, text string")
-    out = syncmers.with_next(df, "doc_id", ["text"], syncmers.SyncmerConfig(rows_per_bucket=7)).collect()
-    assert len(out) == 200 and all(r["next_text"] == f"t{(int(r['text'][1:]) - 1) % 200}" for r in out)
-
-
-def test_lines(spark, docs):
-    first, held, lines = {}, {}, Counter(x for r in docs.values() for x in set(r["text"].split("\n")))
-    rows = {r["doc_id"]: r for r in result(spark, "op5_line_dedup")}
-    for i in sorted(docs):
-        own = docs[i]["text"].split("\n")
-        code = [hash(x) if x.strip(" ") else 0 for x in own]
-        partners = defaultdict(list)
-        for x in dict.fromkeys(own):
-            if x.strip(" ") and x in first:
-                partners[first[x]].append(x)
-        ranked = sorted(partners.items(), key=lambda p: (min(lines[x] for x in p[1]), p[0]))
-        gone = line_dedup.deletions(code, [len(x) for x in own], [([hash(x) for x in p[1]], held[p[0]]) for p in ranked], 20)
-        kept = "\n".join(x for x, g in zip(own, gone) if not g)
-        assert rows[i]["kept_sha256"] == hashlib.sha256(kept.encode()).hexdigest()
-        held[i] = code
-        for x in own:
-            first.setdefault(x, i)
+        edited = t[: len(t) - cut] + n[:cut]
+        changed = plain_anchors(edited)
+        assert (r["n_chars"], r["edited_sha256"]) == (len(t), hashlib.sha256(edited.encode()).hexdigest())
+        assert (r["fingerprint"], r["edited_fingerprint"]) == (shown(prints[i]), shown(changed))
+        assert (r["near_edited"], r["near_next"]) == (pytest.approx(alike(prints[i], changed)), pytest.approx(alike(prints[i], prints[j])))
+
+
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_order_of_neighbours_over_buckets(spark, kind):
+    ids = [i * i for i in range(400)] + [10**15]
+    shown = ids if kind == "long" else [f"{i:016d}" for i in ids]
+    df = spark.createDataFrame([(x, f"t{n}", "clash") for n, x in enumerate(shown)], f"doc_id {kind}, text string, next string")
+    config = syncmers.SyncmerConfig(rows_per_bucket=7)
+    out = syncmers.with_next(df, "doc_id", config).collect()
+    assert len(out) == len(ids) and all(r["next"]["text"] == f"t{(int(r['row']['text'][1:]) - 1) % len(ids)}" for r in out)
+
+
+def test_shared_passages_have_places(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(80)) for x in "abc")
+    df = spark.createDataFrame([(1, f"{a} {b}", f"{c} {b} {a}"), (2, a, c), (3, "", a)], "doc_id long, x string, y string")
+    got = syncmers.fingerprints(df, "x").select("row.*", F.col("anchors").alias("p"))
+    got = syncmers.fingerprints(got, "y").select("row.doc_id", "row.p", F.col("anchors").alias("q"))
+    found = {(r["key"], r["shift"]): (r["start"], r["end"]) for r in syncmers.passages(got, "doc_id", "p", "q").collect() if r["n"] > 5}
+    assert set(found) == {(1, 160), (1, 0)}
+    assert found[1, 160][0] < 6 and 74 < found[1, 160][1] <= 81 and 79 < found[1, 0][0] < 86 and 154 < found[1, 0][1] <= 160
+    near = {r["doc_id"]: r["n"] for r in got.select("doc_id", syncmers.likeness("p", "q").alias("n")).collect()}
+    assert near[1] > 0.6 and near[2] == 0 and near[3] == 0
+
+
+def plain_blocks(a, b):
+    """Patience diff by piles, and the longest common run by trying all; aligned blocks of ``b``."""
+    pairs = []
+
+    def align(i, m, j, n):
+        while i < m and j < n and a[i] == b[j]:
+            pairs.append((i, j))
+            i, j = i + 1, j + 1
+        while i < m and j < n and a[m - 1] == b[n - 1]:
+            m, n = m - 1, n - 1
+            pairs.append((m, n))
+        if i >= m or j >= n:
+            return
+        unique = [(x, j + b[j:n].index(h)) for x, h in enumerate(a[i:m], i) if a[i:m].count(h) == 1 and b[j:n].count(h) == 1]
+        piles, before = [], {}
+        for x, y in unique:
+            k = next((k for k, p in enumerate(piles) if p[-1][1] >= y), len(piles))
+            before[x, y] = piles[k - 1][-1] if k else None
+            piles[k:] = [[*(piles[k] if k < len(piles) else []), (x, y)], *piles[k + 1 :]]
+        if piles:
+            chain, at = [], piles[-1][-1]
+            while at:
+                chain.insert(0, at)
+                at = before[at]
+            for (x0, y0), (x1, y1) in zip([(i - 1, j - 1), *chain], [*chain, (m, n)]):
+                align(x0 + 1, x1, y0 + 1, y1)
+            pairs.extend(chain)
+            return
+        best = ((0, 0), 0, 0, 0)
+        for end in range(j + 1, n + 1):
+            for size in range(end - j, 0, -1):
+                x = next((x for x in range(i, m - size + 1) if a[x : x + size] == b[end - size : end]), None)
+                if x is not None:
+                    score = (sum(h != 0 for h in b[end - size : end]), size)
+                    best = (score, x, end - size, size) if score > best[0] else best
+                    break
+        _, x, y, size = best
+        if size:
+            pairs.extend((x + k, y + k) for k in range(size))
+            align(i, x, j, y)
+            align(x + size, m, y + size, n)
+
+    align(0, len(a), 0, len(b))
+    pairs.sort()
+    blocks = []
+    for k, (x, y) in enumerate(pairs):
+        if k and pairs[k - 1] == (x - 1, y - 1):
+            blocks[-1] = (blocks[-1][0], y + 1)
+        else:
+            blocks.append((y, y + 1))
+    return blocks
+
+
+def test_a_repeat_is_found_whatever_else_is_there(spark):
+    texts = ["alpha beta\nother text of the first", "gamma delta\nother text of the second", "alpha beta\ngamma delta", "alpha beta\ngamma delta\nown text"]
+    for many in (texts[2:], texts):
+        df = spark.createDataFrame(list(enumerate(many)), "doc_id long, text string")
+        got = {r["doc_id"]: r["kept"] for r in line_dedup.remove_shared_lines(df).select("row.doc_id", "kept").collect()}
+        assert got[len(many) - 1] == "own text" and [got[i] for i in range(len(many) - 1)] == many[:-1]
 
 
 def aligned_with_all_earlier(texts):
@@ -171,7 +282,7 @@ def aligned_with_all_earlier(texts):
         gone = [False] * len(own)
         for other in seen:
             if (set(code) & set(other)) - {0}:
-                for lo, hi in line_dedup.common_blocks(other, code):
+                for lo, hi in plain_blocks(other, code):
                     if sum(sizes[lo:hi]) >= 20:
                         gone[lo:hi] = [True] * (hi - lo)
         seen.append(code)
@@ -313,6 +424,26 @@ def test_toxicity_on_held_out(spark):
     assert y[p == 1].mean() > 0.8 and p[y == 1].mean() > 0.85  # 0.85 and 0.90 from 3000 labels; 0.97 and 1.0 from 15000
 
 
+def test_toxicity_scores_by_hand(spark, docs):
+    df = spark.read.parquet(f"{MIDDLE}/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet(f"{MIDDLE}/labels.parquet")
+    known = {r["doc_id"]: r["toxic"] for r in labels.collect()}
+    learn = spark.createDataFrame([(i, y) for i, y in known.items() if zlib.crc32(str(i).encode()) % 4 != 2], "doc_id long, toxic int")
+    model = toxicity.train_toxicity(df, learn)
+    assert model.lexicon
+    for r in result(spark, "op8_toxicity"):
+        best = total = 0.0
+        tokens = re.findall(r"\w+", docs[r["doc_id"]]["text"].lower())
+        for w in tokens:
+            odds = [model.lexicon[f] for f in [w, *[w[:n] + "-" for n in range(4, min(8, len(w)))]] if f in model.lexicon]
+            total = max(0.0, total) + (max(odds) if odds else -model.drift)
+            best = max(best, total)
+        e = max(0.0, model.scale * best - np.log(model.constant * max(1, len(tokens)) / model.chance)) if best else 0.0
+        want = 1 / (1 + np.exp(-max(-50, min(50, model.offset + model.slope * e))))
+        assert r["score"] == pytest.approx(want, abs=1e-9) and r["predicted"] == int(r["score"] >= 0.3)
+        assert r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2)
+
+
 _BASE = (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", r"[0-9]([\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]")
 
 
@@ -381,6 +512,8 @@ def test_shards(spark, docs):
     mean, most = sum(sizes.values()) / 16, max(r["size"] for r in rows)
     assert len(rows) == len(docs) and max(sizes.values()) - mean <= most and mean - min(sizes.values()) <= most
     assert all(len(h) == 1 for h in homes.values())
+    for s in range(16):
+        assert sorted(r["slot"] for r in rows if r["shard"] == s) == list(range(sum(r["shard"] == s for r in rows)))
 
 
 def test_a_text_held_by_most_rows_is_split_evenly(spark):
@@ -405,6 +538,22 @@ def test_equal_texts_stay_together_on_skewed_data(spark, hot):
     assert len(sizes) == 16 and max(abs(b - mean) for b in sizes.values()) < 0.02 * mean
 
 
+def test_network_by_hand():
+    config = language_id.ConvConfig(window=16, filters=3)
+    net = language_id.ByteConvNet(["a", "b", "c"], config)
+    texts = [b"short", bytes(range(60, 101)), b"x", b"the quick brown fox jumps over it"]
+    for t, got in zip(texts, net.probabilities(texts), strict=True):
+        step, sums, begin = 16 - 3, np.zeros(3), 0
+        while begin == 0 or begin + 3 < len(t):
+            win = t[begin : begin + 16].ljust(16, b"\0")
+            top = [max(sum(tab[o, win[at + o], f] for o in range(len(tab))) for at in range(16 - len(tab) + 1)) for tab in net.tables for f in range(3)]
+            z = np.tanh(np.array(top) + net.bias) @ net.out + net.out_bias
+            p = np.exp(z - z.max())
+            sums += p / p.sum() * min(max(len(t) - begin, 1), step)
+            begin += step
+        assert np.allclose(got, sums / sums.sum(), atol=1e-5)
+
+
 def test_windows_of_long_texts():
     net = language_id.ByteConvNet(["a", "b"], language_id.ConvConfig(window=32))
     x, owner, weight = net.windows([b"x" * 100, b"", b"y" * 31])

@@ -4,8 +4,10 @@ from collections import defaultdict
 
 import corpus_pipeline as pipeline
 from conftest import MIDDLE
+from test_operators import aligned_with_all_earlier
 
 from tidemark.llm.common import save
+from tidemark.llm.language_id import train_language_model
 
 
 def test_stages(spark):
@@ -21,13 +23,19 @@ def test_stages(spark):
     assert [n for n, _ in pipeline.STAGES] == ["language_id", "line_dedup", "near_dedup", "decontaminate", "pack"]
 
     before, after = seen["language_id"]
-    assert after.count() == before.count()
+    net = train_language_model(before)
+    rows = before.collect()
+    named = [r for r in rows if any(map(str.isalpha, r["text"] or ""))]
+    best = net.probabilities([r["text"].encode() for r in named]).max(1)
+    clear = [(r, p) for r, p in zip(named, best, strict=True) if abs(p - pipeline.MIN_LANGUAGE) > 1e-4]
+    kept = {r["doc_id"] for r in after.collect()}
+    assert len(clear) > 0.99 * len(rows) and all((r["doc_id"] in kept) == (p >= pipeline.MIN_LANGUAGE) for r, p in clear)
+    assert not kept & ({r["doc_id"] for r in rows} - {r["doc_id"] for r in named})
 
     before, after = seen["line_dedup"]
-    texts = {r["doc_id"]: r["text"] for r in before.collect()}
-    for r in after.collect():
-        assert r["n_chars"] == len(r["text"])
-        assert set(r["text"].split("\n")) <= set(texts[r["doc_id"]].split("\n"))
+    texts = sorted((r["doc_id"], r["text"]) for r in before.collect())
+    want = dict(zip([i for i, _ in texts], aligned_with_all_earlier([t for _, t in texts]), strict=True))
+    assert {r["doc_id"]: (r["text"], r["n_chars"]) for r in after.collect()} == {i: (want[i], len(want[i])) for i, t in texts if want[i] or not t}
 
     before, after = seen["near_dedup"]
     kept, sets, holders = {r["doc_id"] for r in after.collect()}, {}, defaultdict(set)
@@ -92,3 +100,21 @@ def test_leaks_without_id_are_dropped(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     out = dict(pipeline.STAGES)["decontaminate"](spark, docs, MIDDLE).collect()
     assert sorted((r["doc_id"] or 0, r["text"] or "") for r in out) == [(0, ""), (0, "clean"), (2, "clean")]
+
+
+def test_odd_rows_pass_all_stages(spark):
+    long = " ".join(f"word{i}" for i in range(30_000))
+    texts = [(1, "the cat and the dog are in the garden\nwith one more line of text"), (2, None), (3, ""), (4, " \n "), (5, long), (6, long), (6, long), (None, "a text that has no id at all"), (None, None), (7, "$ 12 %"), (8, "the cat and the dog are in the garden\nwith another line of text")]
+    rows = [(i, t, "en" if t else None, None, 5, 0.5, "r", 7, "k", 9) for i, t in texts]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, score double, row string, id long, kept string, _th long")
+    columns = docs.columns
+    seen = {}
+    for name, stage in pipeline.STAGES:
+        docs = save(stage(spark, docs, MIDDLE), f"odd-{name}")
+        seen[name] = docs
+        assert name == "pack" or docs.columns == columns
+    found = {name: sorted((r["doc_id"] or 0) for r in df.collect()) for name, df in seen.items() if name != "pack"}
+    assert found["language_id"] == [0, 1, 5, 6, 6, 8] and found["line_dedup"] == found["near_dedup"] == found["decontaminate"] == [0, 1, 5, 8]
+    assert {r["doc_id"]: r["text"] for r in seen["decontaminate"].collect()}[8] == "with another line of text"
+    pieces = seen["pack"].collect()
+    assert {r["doc_id"] for r in pieces} == {None, 1, 5, 8} and len([r for r in pieces if r["doc_id"] == 5]) > 10
