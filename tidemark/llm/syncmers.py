@@ -96,7 +96,7 @@ def passages(pairs: DataFrame, key: str, a: str, b: str, config: SyncmerConfig =
     """
 
     def first(c: str) -> DataFrame:
-        each = pairs.select(F.col(f"`{key}`").alias("key"), F.explode(f"`{c}`").alias("x"))
+        each = pairs.select(F.col(f"`{key}`").alias("key"), F.explode_outer(f"`{c}`").alias("x"))
         return each.groupBy("key", F.shiftrightunsigned("x", 32).alias("anchor")).agg((F.min(F.col("x").bitwiseAND(F.lit((1 << 32) - 1))) - (config.k - 1)).alias(f"at_{c}"))
 
     met = first(a).join(first(b), ["key", "anchor"])
