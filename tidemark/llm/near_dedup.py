@@ -12,7 +12,8 @@
    pair shares none of 24 bands of 4 with probability 3e-6.
 4. Shingles that no other candidate holds can't be shared, so they bound the similarity
    of every pair of their text: texts that can't reach the threshold with anyone, and
-   pairs that can't with each other, are left out without loss.
+   pairs that can't with each other, are left out without loss. A bitmap of the
+   candidates' hashed ids keeps most other texts out of the shuffle that fetches them.
 5. In each band's bucket, all meet the text with the smallest share of such shingles (of
    edited copies, the original); these pairs are verified on their full sets. Links are
    closed to components. Only buckets that still hold several components go on; they
@@ -57,6 +58,8 @@ class NearConfig:
 
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
+#: Of the bitmap of candidates' ids: 4 MB.
+BITS = 1 << 25
 
 
 def shingle_hashes(text: str | None, size: int) -> np.ndarray:
@@ -225,6 +228,19 @@ def block_pairs(grouped: DataFrame, block: int) -> DataFrame:
     return met.select("band", F.least("at", "with").alias("i"), F.greatest("at", "with").alias("j"), "id", "root")
 
 
+def likely(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows whose id has its bit set in a bitmap of the hashes of ``wanted`` ids: all those, and a few more.
+
+    The broadcast bitmap has ``BITS`` bits at any size of the input; what a crowded one lets
+    through is left to the join that follows.
+    """
+    spot, size = F.pmod(F.xxhash64("id"), F.lit(BITS)), 32768
+    bucket, at = (spot / size).cast("int"), (spot % size).cast("int")
+    bits = wanted.select(bucket.alias("bucket"), at.cast("long").alias("at")).groupBy("bucket").agg(F.bitmap_construct_agg("at").alias("bits"))
+    byte = F.conv(F.hex(F.substring("bits", (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return rows.withColumn("bucket", bucket).join(F.broadcast(bits), "bucket").filter(F.getbit(byte, at % 8) == 1).select(rows.columns)
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", config: NearConfig = NearConfig()) -> DataFrame:
     """``id``, ``size`` (of the set) and ``component`` of each input row."""
     source = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text}`").alias("text"))
@@ -238,8 +254,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     # What is counted by key is written first: a join of two plain shuffles can be split where a key is hot.
     shared = save(rows.groupBy("band").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("band"), "op3-shared")
     buckets = save(rows.join(shared, "band", "left_semi"), "op3-buckets")
-    wanted = buckets.select("id").distinct()
-    sets = save(source.join(wanted, "id", "left_semi").mapInArrow(batched(_sets_work(config.shingle)), f"id {kind}, items array<long>"), "op3-sets")
+    wanted = save(buckets.select("id").distinct(), "op3-wanted")
+    # Not a semi-join, which the optimizer would move before the bitmap.
+    sets = save(likely(source, wanted).join(wanted, "id").mapInArrow(batched(_sets_work(config.shingle)), f"id {kind}, items array<long>"), "op3-sets")
     lone = sets.select("id", F.explode("items").alias("e")).groupBy("e").agg(F.count(F.lit(1)).alias("c"), F.min("id").alias("id")).filter("c = 1")
     lone = save(lone.groupBy("id").agg(F.count(F.lit(1)).alias("lone")), "op3-lone")
     p = config.percent
