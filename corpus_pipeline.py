@@ -4,7 +4,7 @@ Each stage takes the session, what the stage before kept (``documents`` at first
 the folder of the tables. All but the last return the columns of ``documents``:
 
 - ``language_id`` learns from the labelled rows it gets and drops texts that are null,
-  without a letter, or whose best language has a probability under ``MIN_LANGUAGE``.
+  without a letter, or whose best language has a probability under ``least_score``.
 - ``line_dedup`` deletes aligned blocks of lines that earlier documents hold, and drops
   documents that lose all their lines. ``n_chars`` follows the text.
 - ``near_dedup`` keeps the document with the smallest id of each group.
@@ -32,8 +32,13 @@ from tidemark.llm.line_dedup import remove_shared_lines
 from tidemark.llm.near_dedup import near_duplicates
 from tidemark.llm.packing import pack
 
-#: Four languages have 0.25 by chance.
-MIN_LANGUAGE = 0.3
+#: How far the best language's probability must lie from chance towards certainty: 0.4 among four.
+MIN_LANGUAGE = 0.2
+
+
+def least_score(languages: int) -> float:
+    """The least probability that a text's best of so many learned languages must have."""
+    return 1 / languages + MIN_LANGUAGE * (1 - 1 / languages) if languages > 1 else 0.0
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,7 +46,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     if model is None:
         return docs.filter(F.col("text").rlike(r"\p{L}"))
     found = identify_language(docs, model)
-    return found.filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= MIN_LANGUAGE)).select("row.*")
+    return found.filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least_score(len(model.classes)))).select("row.*")
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
