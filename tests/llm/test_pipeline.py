@@ -27,9 +27,10 @@ def test_stages(spark):
     rows = before.collect()
     named = [r for r in rows if any(map(str.isalpha, r["text"] or ""))]
     best = net.probabilities([r["text"].encode() for r in named]).max(1)
-    clear = [(r, p) for r, p in zip(named, best, strict=True) if abs(p - pipeline.MIN_LANGUAGE) > 1e-4]
+    least = pipeline.least_score(len(net.classes))
+    clear = [(r, p) for r, p in zip(named, best, strict=True) if abs(p - least) > 1e-4]
     kept = {r["doc_id"] for r in after.collect()}
-    assert len(clear) > 0.99 * len(rows) and all((r["doc_id"] in kept) == (p >= pipeline.MIN_LANGUAGE) for r, p in clear)
+    assert len(clear) > 0.99 * len(rows) and all((r["doc_id"] in kept) == (p >= least) for r, p in clear)
     assert not kept & ({r["doc_id"] for r in rows} - {r["doc_id"] for r in named})
 
     before, after = seen["line_dedup"]
@@ -87,6 +88,21 @@ def test_stages(spark):
     assert {r["doc_id"] for r in after.collect()} == clean
 
 
+def test_language_stage_rejects_by_the_number_of_languages(spark, monkeypatch):
+    assert [round(pipeline.least_score(n), 3) for n in (1, 2, 4, 10)] == [0, 0.6, 0.4, 0.28]
+    known = [(i, t, lang) for i in range(40) for t, lang in [("the cat and the dog are in the garden", "en"), ("der hund und die katze sind im garten", "de")]]
+    docs = spark.createDataFrame([*known, (99, "the hund and die garden im und the", None)], "doc_id long, text string, lang string")
+    net = train_language_model(docs)
+    best = net.probabilities([b"the hund and die garden im und the"]).max()
+    stage = dict(pipeline.STAGES)["language_id"]
+    for share in (0.0, 0.2, min(1.0, 2 * best - 1 + 1e-3)):
+        monkeypatch.setattr(pipeline, "MIN_LANGUAGE", share)
+        kept = {r["doc_id"] for r in stage(spark, docs, MIDDLE).collect()}
+        assert kept == set(range(40)) | ({99} if best >= pipeline.least_score(2) else set())
+    one = docs.filter("lang = 'en' OR lang IS NULL")
+    assert stage(spark, one, MIDDLE).count() == 41
+
+
 def test_empty(spark):
     docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
     for name, stage in pipeline.STAGES:
