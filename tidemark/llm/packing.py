@@ -57,7 +57,7 @@ class PackConfig:
     open_end: bool = True
     #: Share of the program's solution that is rounded to whole sequences.
     share: float = 0.9
-    cached_words: int = 1_200_000
+    cached_words: int = 800_000
     with_ids: bool = False
 
 
