@@ -30,10 +30,12 @@ from tidemark.llm.decontaminate import drop_leaks
 from tidemark.llm.language_id import UNKNOWN, identify_language, train_language_model
 from tidemark.llm.line_dedup import remove_shared_lines
 from tidemark.llm.near_dedup import near_duplicates
-from tidemark.llm.packing import pack
+from tidemark.llm.packing import PackConfig, pack
 
 #: How far the best language's probability must lie from chance towards certainty: 0.4 among four.
 MIN_LANGUAGE = 0.2
+#: Python workers outlive their stage and hold these besides what later ones need.
+PACKING = PackConfig(cached_words=800_000)
 
 
 def least_score(languages: int) -> float:
@@ -65,7 +67,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    out = pack(docs.select("doc_id", "text"))
+    out = pack(docs.select("doc_id", "text"), config=PACKING)
     return out.select(F.col("id").alias("doc_id"), "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
