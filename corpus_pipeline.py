@@ -35,7 +35,7 @@ from tidemark.llm.packing import PackConfig, pack
 #: How far the best language's probability must lie from chance towards certainty: 0.4 among four.
 MIN_LANGUAGE = 0.2
 #: Python workers outlive their stage and hold these besides what later ones need.
-PACKING = PackConfig(cached_words=800_000)
+PACKING = PackConfig(cached_words=400_000)
 
 
 def least_score(languages: int) -> float:
