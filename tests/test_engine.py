@@ -235,6 +235,20 @@ def test_profiles(spark, tmp_path):
     assert summary(t.limit(0)).first()["row_count"] == 0
 
 
+def test_summary_counts_many_distinct_values_exactly(spark, tmp_path):
+    """``customer`` of sf0.1 has more keys than an estimate's limit; copies with shifted keys have sixty times as many."""
+    source = f"{MIDDLE.replace('sf0.01', 'sf0.1')}/customer.parquet"
+    many = spark.read.parquet(source).crossJoin(spark.range(60).withColumnRenamed("id", "copy"))
+    many.withColumn("c_custkey", F.expr("c_custkey + copy * 1000000")).drop("copy").write.parquet(str(tmp_path / "customer.parquet"))
+    for folder, files in ((source.rpartition("/")[0], source), (str(tmp_path), f"{tmp_path}/customer.parquet/*.parquet")):
+        con = duckdb.connect()
+        con.execute(f"CREATE VIEW customer AS SELECT * FROM read_parquet('{files}')")
+        want = con.execute(Q.oracle_sql()["profile_summary"]).fetchall()
+        assert sorted(tuple(r) for r in Q.queries()["profile_summary"](spark, folder).collect()) == sorted(want)
+    both = spark.range(20_000).select("id", F.lit(None).cast("int").alias("none"), F.array("id").alias("many"))
+    assert [r["ndv"] for r in summary(both, ProfileConfig(exact_limit=None)).collect()] == [20_000, 0, None]
+
+
 def test_validation(spark):
     assert same_in_order(["a ", "b"], ["a", "b"]) is None and same_in_order(["a"], ["a", "b"]) and same_in_order(["b", "a"], ["a", "b"])
     assert same_sorted(["b", "a"], ["a", "b"]) is None and same_sorted(["a", "a"], ["a", "b"])

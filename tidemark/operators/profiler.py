@@ -4,7 +4,8 @@ All columns share two passes that read each row once and send only aggregates:
 
 - counts, bounds and a sketch of distinct values. The distinct count is exact up to
   ``exact_limit`` values, which are counted only for columns that the sketch shows near
-  it, and the sketch's estimate beyond.
+  it, and the sketch's estimate beyond. Without a limit there is no sketch, and every
+  count is exact.
 - physical order: each input partition is checked as it streams by, in file order, and
   gives the first and last value of each file part; the parts are then compared in the
   order of (file, row). Nothing is shuffled but one row for each file part. A column
@@ -33,7 +34,8 @@ from pyspark.sql import types as T
 
 @dataclass(frozen=True)
 class ProfileConfig:
-    exact_limit: int = 10_000
+    #: Distinct values beyond which a count is estimated; None counts all.
+    exact_limit: int | None = 10_000
     #: Relative error of a 4096-register HyperLogLog.
     error: float = 0.0163
     buckets: int = 10
@@ -106,8 +108,10 @@ def summary(df: DataFrame, config: ProfileConfig = ProfileConfig()) -> DataFrame
     """One row for each column: ``column_name``, ``row_count``, ``lower_bound``, ``upper_bound`` (as text, not for strings), ``ndv`` and ``density``."""
     cols = _plain(df)
     fields = [f for f in df.schema.fields]
-    rough = df.agg(*[F.approx_count_distinct(_q(c), config.error).alias(f"a{i}") for i, c in enumerate(cols)] or [F.lit(0)]).first()
-    near = [c for i, c in enumerate(cols) if rough[f"a{i}"] <= config.exact_limit * (1 + 5 * config.error)]
+    limit, near, rough = config.exact_limit, cols, None
+    if limit is not None:
+        rough = df.agg(*[F.approx_count_distinct(_q(c), config.error).alias(f"a{i}") for i, c in enumerate(cols)] or [F.lit(0)]).first()
+        near = [c for i, c in enumerate(cols) if rough[f"a{i}"] <= limit * (1 + 5 * config.error)]
     aggs = [F.count(F.lit(1)).alias("n")]
     for i, f in enumerate(fields):
         c = F.col(_q(f.name))
@@ -121,8 +125,9 @@ def summary(df: DataFrame, config: ProfileConfig = ProfileConfig()) -> DataFrame
         known = f.name in cols
         bounds = known and not isinstance(f.dataType, T.StringType)
         text = F.lit(None).cast("string")
-        estimate = F.lit(int(rough[f"a{cols.index(f.name)}"])) if known else F.lit(None)
-        ndv = F.when(F.col(f"d{i}") <= config.exact_limit, F.col(f"d{i}")).otherwise(estimate) if f.name in near else estimate
+        ndv = F.lit(int(rough[f"a{cols.index(f.name)}"])) if known and rough else F.lit(None)
+        if f.name in near:
+            ndv = F.col(f"d{i}") if limit is None else F.when(F.col(f"d{i}") <= limit, F.col(f"d{i}")).otherwise(ndv)
         ndv = ndv.cast("bigint")
         density = F.when(F.col("n") > 0, F.least(F.lit(1.0).cast("float"), (ndv.cast("float") / F.col("n").cast("float")).cast("float")))
         rows.append(F.struct(F.lit(f.name).alias("column_name"), F.col("n").alias("row_count"), (F.col(f"l{i}") if bounds else text).alias("lower_bound"), (F.col(f"u{i}") if bounds else text).alias("upper_bound"), ndv.alias("ndv"), density.alias("density")))
